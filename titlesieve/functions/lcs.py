@@ -190,108 +190,157 @@ class TitleBlock:
         bag = np.bincount(rows * size + self.symbols[rows, cols], minlength=self.n * size)
         self.bag = np.ascontiguousarray(bag.reshape(self.n, size).T.astype(np.uint16))
 
-    def best(self, title: str, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and scores of the k best titles scoring at least ``floor``
-        (ties by position). Rows are skipped only when a bound proves they cannot be among them."""
-        query = sorted(set(title.split()))
-        none = np.empty(0, dtype=np.int64), np.empty(0)
-        if not query or not self.n:
-            return none
-        match = np.zeros((self.n, len(query)), dtype=bool)
-        dropped = np.zeros((self.n, self.width + 1), dtype=bool)
+    def best(self, titles: Sequence[str], k: int, floor: float, pairs: int = 1 << 15):
+        """For each title the row numbers and scores of the k best rows scoring at least ``floor``
+        (ties by position). Rows are skipped only when a bound proves they cannot be among them.
+        Titles are taken together until about ``pairs`` pairs share each numpy step."""
+        group = max(1, pairs // max(self.n, 1))
+        for at in range(0, len(titles), group):
+            open_ = [_Search(self, t, k, floor) for t in titles[at:at + group]]
+            size = 1024
+            while True:
+                live = [(s, s.take(size)) for s in open_ if len(s.todo)]
+                if not live:
+                    break
+                common = self._common(live)
+                start = 0
+                for s, rows in live:
+                    s.settle(rows, common[start:start + len(rows)])
+                    start += len(rows)
+                size *= 2
+            for s in open_:
+                yield s.result()
+
+    def _common(self, live: list[tuple[_Search, np.ndarray]]) -> np.ndarray:
+        """LCS of the unshared remainders, the shared tokens masked out of both sides."""
+        words = max(-(-len(s.pattern) // _WORD) for s, _ in live)
+        width = len(self.alphabet) + 1
+        tables = np.zeros((words, len(live) * width), dtype=np.uint64)
+        keep, text = [], []
+        for g, (s, rows) in enumerate(live):
+            s.fill_table(tables[:, g * width:(g + 1) * width])
+            keep.append(s.kept_bits(rows, words))
+            text.append(s.remaining_text(rows).astype(np.intp) + g * width)
+        keep = np.concatenate(keep, axis=1)
+        columns = np.ascontiguousarray(np.concatenate(text).T)
+        steps = max(int(self.length[rows].max()) for _, rows in live)
+        return _run(list(keep), steps, keep.shape[1], lambda j, w: tables[w][columns[j]] & keep[w])
+
+
+class _Search:
+    """One title being searched in a block: bounds, scores so far, rows still to measure."""
+
+    def __init__(self, block: TitleBlock, title: str, k: int, floor: float):
+        self.block, self.k, self.floor = block, k, floor
+        self.query = query = sorted(set(title.split()))
+        self.pattern = " ".join(query)
+        self.todo = np.empty(0, dtype=np.int64)
+        n = block.n
+        self.score = np.full(n, -1.0)
+        self.bar = floor
+        if not query or not n:
+            return
+        self.match = np.zeros((n, len(query)), dtype=bool)
+        self.dropped = np.zeros((n, block.width + 1), dtype=bool)
         for t, token in enumerate(query):
-            where = self.vocab.get(token)
+            where = block.vocab.get(token)
             if where is not None:
-                match[where[:, 0], t] = True
-                dropped[where[:, 0], where[:, 1]] = True
+                self.match[where[:, 0], t] = True
+                self.dropped[where[:, 0], where[:, 1]] = True
         sizes = np.array([len(t) for t in query], dtype=np.int64)
-        common = match.sum(axis=1)
-        common_chars = match @ sizes
-        shared = (common_chars + np.maximum(common - 1, 0)).astype(np.float64)
-        left_n, right_n = len(query) - common, self.count - common
-        len_l = (sizes.sum() - common_chars + np.maximum(left_n - 1, 0)).astype(np.float64)
-        len_r = (self.chars - common_chars + np.maximum(right_n - 1, 0)).astype(np.float64)
+        common = self.match.sum(axis=1)
+        chars = self.match @ sizes
+        left_n, right_n = len(query) - common, block.count - common
+        self.shared = (chars + np.maximum(common - 1, 0)).astype(np.float64)
+        self.len_l = (sizes.sum() - chars + np.maximum(left_n - 1, 0)).astype(np.float64)
+        self.len_r = (block.chars - chars + np.maximum(right_n - 1, 0)).astype(np.float64)
+        usable = block.count > 0
         contained = (common > 0) & ((left_n == 0) | (right_n == 0))
-        lower = np.where(contained, 100.0, overlap_bound(shared, len_l, len_r))
-        ceiling = self._bag_overlap(query) - common_chars
-        ceiling += np.maximum(np.minimum(left_n, right_n) - 1, 0)
-        upper = np.where(contained, 100.0, blend_token_set(shared, len_l, len_r, ceiling))
-        score = np.where(self.count > 0, lower, -1.0)
-        bar = self._bar(score, k, floor)
-        todo = np.nonzero(~contained & (self.count > 0) & (upper >= bar))[0]
-        todo = todo[np.argsort(-upper[todo], kind="stable")]
-        size = 1024
-        while len(todo):
-            rows, todo = todo[:size], todo[size:]
-            found = self._common(query, match, dropped, rows)
-            score[rows] = blend_token_set(shared[rows], len_l[rows], len_r[rows], found)
-            bar = self._bar(score, k, floor)
-            todo = todo[: np.searchsorted(-upper[todo], -bar, side="right")]
-            size *= 2
-        keep = np.nonzero(score >= bar)[0]
-        order = np.lexsort((self.positions[keep], -score[keep]))[:k]
+        lower = np.where(contained, 100.0, overlap_bound(self.shared, self.len_l, self.len_r))
+        ceiling = self._bag_overlap() - chars + np.maximum(np.minimum(left_n, right_n) - 1, 0)
+        upper = blend_token_set(self.shared, self.len_l, self.len_r, ceiling)
+        self.score[usable] = lower[usable]
+        self._raise_bar()
+        todo = np.nonzero(~contained & usable & (upper >= self.bar))[0]
+        self.todo = todo[np.argsort(-upper[todo], kind="stable")]
+        self.upper = upper
+
+    def take(self, size: int) -> np.ndarray:
+        rows, self.todo = self.todo[:size], self.todo[size:]
+        return rows
+
+    def settle(self, rows: np.ndarray, common: np.ndarray) -> None:
+        self.score[rows] = blend_token_set(self.shared[rows], self.len_l[rows], self.len_r[rows], common)
+        self._raise_bar()
+        self.todo = self.todo[: np.searchsorted(-self.upper[self.todo], -self.bar, side="right")]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.nonzero(self.score >= self.bar)[0]
+        order = np.lexsort((self.block.positions[keep], -self.score[keep]))[: self.k]
         keep = keep[order]
-        return keep, score[keep]
+        return keep, self.score[keep]
 
-    def _bar(self, score, k, floor) -> float:
+    def _raise_bar(self) -> None:
         """A score that at least k rows already reach: nothing below it can be among the k best."""
-        if self.n <= k:
-            return floor
-        return max(floor, float(np.partition(score, self.n - k)[self.n - k]))
-
-    def _bag_overlap(self, query) -> np.ndarray:
-        """Characters the two token sets have in common regardless of order, separators apart."""
-        points, counts = np.unique(np.array([list("".join(query))]), return_counts=True)
-        points = np.array([ord(c) for c in points], dtype=np.uint32)
-        at = np.searchsorted(self.alphabet, points)
-        total = np.zeros(self.n, dtype=np.int64)
-        for point, count, slot in zip(points, counts, at):
-            if slot < len(self.alphabet) and self.alphabet[slot] == point:
-                total += np.minimum(self.bag[slot + 1], np.uint16(min(count, 65535)))
-        return total
-
-    def _common(self, query, match, dropped, rows) -> np.ndarray:
-        """LCS of the unshared remainders, the shared tokens masked out of both sides."""
-        pattern = " ".join(query)
-        words = -(-len(pattern) // _WORD)
-        points = np.array([pattern], dtype=f"U{len(pattern)}").view(np.uint32)
-        at = np.arange(len(pattern))
-        bits = np.uint64(1) << (at % _WORD).astype(np.uint64)
-        symbol = np.searchsorted(self.alphabet, points)
-        known = symbol < len(self.alphabet)
-        known[known] = self.alphabet[symbol[known]] == points[known]
-        table = np.zeros((words, len(self.alphabet) + 1), dtype=np.uint64)
-        for w in range(words):
-            inside = known & (at // _WORD == w)
-            np.bitwise_or.at(table[w], symbol[inside] + 1, bits[inside])
-
-        # pattern bits kept per row: characters of unshared tokens, without a leading separator
+        n = len(self.score)
+        if n > self.k:
+            self.bar = max(self.floor, float(np.partition(self.score, n - self.k)[n - self.k]))
+
+    def _bag_overlap(self) -> np.ndarray:
+        """Characters both token sets hold regardless of order, separators apart."""
+        block = self.block
+        points, counts = np.unique(np.array([ord(c) for c in "".join(self.query)], dtype=np.uint32),
+                                   return_counts=True)
+        slot = np.searchsorted(block.alphabet, points)
+        known = slot < len(block.alphabet)
+        known[known] = block.alphabet[slot[known]] == points[known]
+        caps = np.minimum(counts[known], 65535).astype(np.uint16)
+        return np.minimum(block.bag[slot[known] + 1], caps[:, None]).sum(axis=0, dtype=np.int64)
+
+    def fill_table(self, table: np.ndarray) -> None:
+        """Bit positions of every block character in the pattern."""
+        alphabet = self.block.alphabet
+        points = np.array([self.pattern], dtype=f"U{len(self.pattern)}").view(np.uint32)
+        symbol = np.searchsorted(alphabet, points)
+        known = symbol < len(alphabet)
+        known[known] = alphabet[symbol[known]] == points[known]
+        at = np.nonzero(known)[0]
+        np.bitwise_or.at(table, (at // _WORD, symbol[at] + 1), np.uint64(1) << (at % _WORD).astype(np.uint64))
+
+    def kept_bits(self, rows: np.ndarray, words: int) -> np.ndarray:
+        """Pattern bits per row: the characters of unshared tokens, without a leading separator."""
+        query, match = self.query, self.match[rows]
+        if len(query) < 63:
+            code = match @ (1 << np.arange(len(query), dtype=np.int64))
+            _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+            kinds = match[first]
+        else:
+            kinds, inverse = np.unique(match, axis=0, return_inverse=True)
         owner = np.repeat(np.arange(len(query)), [len(t) + (i > 0) for i, t in enumerate(query)])
-        signature, inverse = np.unique(match[rows], axis=0, return_inverse=True)
-        kept = np.zeros((words, len(signature)), dtype=np.uint64)
-        for g, gone in enumerate(signature):
-            alive = ~gone[owner]
-            first = int(np.argmin(gone))
-            if first > 0:
-                alive[np.argmax(owner == first)] = False
-            for w in range(words):
-                inside = alive & (at // _WORD == w)
-                kept[w, g] = np.bitwise_or.reduce(bits[inside]) if inside.any() else np.uint64(0)
-        inverse = inverse.ravel()
-        keep = [kept[w][inverse] for w in range(words)]
-
-        text = self.symbols[rows]
-        some = np.nonzero(match[rows].any(axis=1))[0]
+        alive = ~kinds[:, owner]
+        lead = np.concatenate(([0], np.cumsum([len(t) for t in query])[:-1] + np.arange(len(query) - 1)))
+        start = np.argmin(kinds, axis=1)
+        some = np.nonzero(start > 0)[0]
+        alive[some, lead[start[some]]] = False
+        bits = np.zeros((len(kinds), words * _WORD), dtype=np.uint8)
+        bits[:, :alive.shape[1]] = alive
+        packed = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        return np.ascontiguousarray(packed[inverse.ravel()].T)
+
+    def remaining_text(self, rows: np.ndarray) -> np.ndarray:
+        """Block symbols with shared tokens (and then a leading separator) blanked out."""
+        text = self.block.symbols[rows]
+        some = np.nonzero(self.match[rows].any(axis=1))[0]
         if len(some):
-            gone = dropped[rows[some]]
-            own = self.owner[rows[some]]
+            gone = self.dropped[rows[some]]
+            own = self.block.owner[rows[some]]
             off = np.take_along_axis(gone, own.astype(np.int64), axis=1)
             first = np.argmin(gone, axis=1)
             lead = (own == first[:, None]) & (first > 0)[:, None]
-            off |= lead & (np.cumsum(lead, axis=1) == 1)
+            at = np.argmax(lead, axis=1)
+            hit = lead[np.arange(len(some)), at]
+            off[np.nonzero(hit)[0], at[hit]] = True
             part = text[some]
             part[off] = 0
             text[some] = part
-        steps = int(self.length[rows].max())
-        columns = np.ascontiguousarray(text.T)
-        return _run(keep, steps, len(rows), lambda j, w: table[w][columns[j]] & keep[w])
+        return text

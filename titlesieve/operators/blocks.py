@@ -57,4 +57,8 @@ def block_product(
         .drop("_left_blocks", "_right_blocks")
     )
     keys = (cell, "_lb", "_rb")
+    # the exchange the cogroup needs anyway, but with a fixed number of tasks: the work of a block
+    # pair grows with the product of its sides, so merging partitions by their bytes would serialise it
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut_left, cut_right = cut_left.repartition(tasks, *keys), cut_right.repartition(tasks, *keys)
     return cut_left.groupBy(*keys).cogroup(cut_right.groupBy(*keys)).applyInArrow(kernel, schema)
