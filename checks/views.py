@@ -118,3 +118,17 @@ def proposals(spark: SparkSession, sf: str) -> DataFrame:
 
 def library(spark: SparkSession, sf: str) -> Library:
     return Library(corpus(spark, sf), vectors(spark, sf), centroids(spark, sf))
+
+
+def sheet(spark: SparkSession, sf: str) -> DataFrame:
+    """A raw title table with blanks, "nan" cells and repeats, in ``doc_id`` order."""
+    ship_package(spark)
+    lines = F.split("text", "\n")
+    doc = F.col("doc_id")
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        F.when(doc % 37 == 0, F.lit(None)).when(doc % 41 == 0, "nan").otherwise(F.get(lines, F.lit(0))).alias("titles"),
+        F.get(lines, F.lit(1)).alias("description"),
+        F.when(doc % 29 != 0, F.concat("source", F.lit(" - "), "lang")).alias("domain"),
+        F.nullif(F.regexp_extract("text", "[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", 0), F.lit("")).alias("contact_info"),
+    )
