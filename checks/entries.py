@@ -490,12 +490,14 @@ def verdicts_with_phonetics(spark, sf):
 
 
 _INTAKE = """
-first_ok AS (SELECT normalized_title, min(seq) AS first_seq FROM verdicts
+accepted AS (SELECT v.* FROM verdicts v JOIN asked a USING (proposal_id)
+             WHERE length(a.title) BETWEEN 1 AND 500 AND coalesce(length(a.description), 0) <= 2000),
+first_ok AS (SELECT normalized_title, min(seq) AS first_seq FROM accepted
              WHERE record_status = 'approved' AND normalized_title <> '' GROUP BY normalized_title),
 numbered AS (
   SELECT v.*, row_number() OVER (ORDER BY v.seq) + (SELECT max(id) FROM corpus) AS submission_id,
          coalesce(first_seq < v.seq, false) AS late, f.first_seq
-  FROM verdicts v LEFT JOIN first_ok f USING (normalized_title)),
+  FROM accepted v LEFT JOIN first_ok f USING (normalized_title)),
 intake AS (
   SELECT n.submission_id, n.proposal_id, n.seq, n.norm_domain AS domain,
          CASE WHEN late THEN 'rejected' ELSE n.record_status END AS record_status,
@@ -510,7 +512,7 @@ intake AS (
                   SELECT 1 FROM ranked r WHERE r.proposal_id = n.proposal_id AND r.rank <= 2 AND r.domain = n.norm_domain))
                 THEN 'Same domain as closest matching title' END) ELSE n.reasons END AS reasons,
          n.candidate_count + late::INT AS candidate_count
-  FROM numbered n LEFT JOIN verdicts f ON n.late AND f.seq = n.first_seq)
+  FROM numbered n LEFT JOIN accepted f ON n.late AND f.seq = n.first_seq)
 """
 
 

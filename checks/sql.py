@@ -39,7 +39,7 @@ centroids AS (
 proposals AS (
   SELECT r.id AS proposal_id, r.id AS seq,
          CASE r.id % 6
-           WHEN 1 THEN upper(title)
+           WHEN 1 THEN replace(upper(title), 'ẞ', 'SS')
            WHEN 2 THEN array_to_string(list_reverse(string_split(title, ' ')), ' ')
            WHEN 3 THEN array_to_string(string_split(title, ' ')[1:len(string_split(title, ' ')) - 1], ' ')
            WHEN 4 THEN title || ' Variation ' || r.id::VARCHAR

@@ -9,7 +9,7 @@ from titlesieve.functions.phonetic import phonetic_code
 from titlesieve.functions.text import normalize_domain, normalize_title
 from titlesieve.functions.vectors import unit
 from titlesieve.plans.screen import Library
-from titlesieve.session import ship_package
+from titlesieve.session import cut_lineage, ship_package
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -116,8 +116,17 @@ def proposals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_libraries: dict[tuple[str, str], Library] = {}
+
+
 def library(spark: SparkSession, sf: str) -> Library:
-    return Library(corpus(spark, sf), vectors(spark, sf), centroids(spark, sf))
+    """Corpus, index and cluster model as stored tables, built once per session and scale."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _libraries:
+        _libraries[key] = Library(
+            cut_lineage(corpus(spark, sf)), cut_lineage(vectors(spark, sf)), cut_lineage(centroids(spark, sf))
+        )
+    return _libraries[key]
 
 
 def sheet(spark: SparkSession, sf: str) -> DataFrame:

@@ -84,35 +84,54 @@ def _unit_rows(model: np.ndarray) -> np.ndarray:
 
 
 def assign_cells(index: DataFrame, directions: np.ndarray, rings: int) -> DataFrame:
-    """Cell of each vector: nearest centroid and its ring; -1 for zero vectors."""
+    """Cell of each vector (nearest centroid and ring around it; -1 for zero vectors) and its angle
+    to that centroid."""
 
     def run(batches):
         for batch in batches:
             m = matrix(batch.column("embedding"))
-            out = np.full(len(m), -1, dtype=np.int32)
+            out, away = np.full(len(m), -1, dtype=np.int32), np.zeros(len(m), dtype=np.float32)
             live = np.nonzero(m.any(axis=1))[0] if len(m) else np.empty(0, dtype=np.int64)
             if len(live):
                 angle = _angles(m[live], directions)
                 near = angle.argmin(axis=1)
-                ring = (angle[np.arange(len(live)), near] * (rings / np.pi)).astype(np.int32)
+                away[live] = angle[np.arange(len(live)), near]
+                ring = (away[live] * (rings / np.pi)).astype(np.int32)
                 out[live] = near * rings + np.minimum(ring, rings - 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("embedding"), pa.array(out)], names=["id", "embedding", "cell"]
+                [batch.column("id"), batch.column("embedding"), pa.array(out), pa.array(away)],
+                names=["id", "embedding", "cell", "angle"],
             )
 
-    return index.mapInArrow(run, "id long, embedding array<float>, cell int")
+    return index.mapInArrow(run, "id long, embedding array<float>, cell int, angle float")
 
 
-def _ceilings(queries: np.ndarray, directions: np.ndarray, cells: np.ndarray, rings: int) -> np.ndarray:
-    """Highest similarity any vector of each cell could have with each query."""
-    real = np.maximum(cells, 0)
-    angle = _angles(queries, directions)[:, real // rings]
-    low = (real % rings) * (np.pi / rings)
-    high = low + np.pi / rings
-    bound = np.cos(np.maximum(np.maximum(angle - high, low - angle), 0.0)) + _SLACK
-    bound[~queries.any(axis=1)] = _SLACK
-    bound[:, cells < 0] = _SLACK
-    return bound
+class Cells:
+    """The cells of an index with their size and the range of angles they really hold."""
+
+    def __init__(self, directions: np.ndarray, rings: int, stats: list):
+        self.directions = directions
+        self.ids = np.array([r["cell"] for r in stats], dtype=np.int32)
+        self.counts = np.array([r["n"] for r in stats], dtype=np.int64)
+        self.low = np.array([r["low"] for r in stats], dtype=np.float64)
+        self.high = np.array([r["high"] for r in stats], dtype=np.float64)
+        self.centre = np.maximum(self.ids, 0) // rings
+
+    def ceilings(self, queries: np.ndarray) -> np.ndarray:
+        """Highest similarity any vector of each cell could have with each query."""
+        angle = _angles(queries, self.directions)[:, self.centre]
+        bound = np.cos(np.maximum(np.maximum(angle - self.high, self.low - angle), 0.0)) + _SLACK
+        bound[~queries.any(axis=1)] = _SLACK
+        bound[:, self.ids < 0] = _SLACK
+        return bound
+
+    def opening(self, bound: np.ndarray, k: int) -> np.ndarray:
+        """The best cells by bound that together hold at least k vectors."""
+        order = np.argsort(-bound, axis=1, kind="stable")
+        before = np.cumsum(self.counts[order], axis=1) - self.counts[order]
+        chosen = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(chosen, order, before < k, axis=1)
+        return chosen
 
 
 def _visits(queries: DataFrame, decide) -> DataFrame:
@@ -136,28 +155,22 @@ def _pruned(
     queries: DataFrame, index: DataFrame, k: int, cfg: ScreeningConfig, directions: np.ndarray, rings: int
 ) -> DataFrame:
     celled = assign_cells(index, directions, rings)
-    # at most max_model_rows * _MAX_RINGS + 1 pairs of numbers
-    stats = celled.groupBy("cell").agg(F.count("*").alias("n")).collect()
-    cells = np.array([r["cell"] for r in stats], dtype=np.int32)
-    counts = np.array([r["n"] for r in stats], dtype=np.int64)
-
-    def opening(bound: np.ndarray) -> np.ndarray:
-        """The best cells by bound that together hold at least k vectors."""
-        order = np.argsort(-bound, axis=1, kind="stable")
-        before = np.cumsum(counts[order], axis=1) - counts[order]
-        chosen = np.zeros(bound.shape, dtype=bool)
-        np.put_along_axis(chosen, order, before < k, axis=1)
-        return chosen
+    # at most max_model_rows * _MAX_RINGS + 1 rows of four numbers
+    stats = celled.groupBy("cell").agg(
+        F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")
+    ).collect()
+    cells, celled = Cells(directions, rings, stats), celled.drop("angle")
 
     def first(batch):
-        rows, cols = np.nonzero(opening(_ceilings(matrix(batch.column("embedding")), directions, cells, rings)))
-        return rows, cells[cols]
+        bound = cells.ceilings(matrix(batch.column("embedding")))
+        rows, cols = np.nonzero(cells.opening(bound, k))
+        return rows, cells.ids[cols]
 
     def second(batch):
-        bound = _ceilings(matrix(batch.column("embedding")), directions, cells, rings)
+        bound = cells.ceilings(matrix(batch.column("embedding")))
         floor = batch.column("floor").to_numpy(zero_copy_only=False)
-        rows, cols = np.nonzero((bound >= floor[:, None]) & ~opening(bound))
-        return rows, cells[cols]
+        rows, cols = np.nonzero((bound >= floor[:, None]) & ~cells.opening(bound, k))
+        return rows, cells.ids[cols]
 
     # read twice below, and costly: cut the lineage so that it is searched once
     opened = cut_lineage(_product(_visits(queries, first), celled, k, cfg))
