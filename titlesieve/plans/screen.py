@@ -67,4 +67,4 @@ def screen(proposals: DataFrame, library: Library, cfg: ScreeningConfig = Screen
     """One verdict per proposal (proposal_id, title, domain, embedding, ...)."""
     prepared = prepare_proposals(proposals, library, cfg)
     ranked, heads = ranked_candidates(prepared, library, cfg)
-    return decisions.verdicts(prepared, decisions.summarise(ranked, cfg), heads, cfg)
+    return decisions.verdicts(prepared, decisions.summarise(ranked, library.corpus, cfg), heads, cfg)
