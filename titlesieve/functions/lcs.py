@@ -22,28 +22,32 @@ def _code_matrix(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return matrix, lengths
 
 
-def _run(masks: list[np.ndarray], steps: int, n: int, pick) -> np.ndarray:
-    """Advance the bit-vector recurrence; ``pick(j, w)`` gives step j's match word w for every pair."""
-    words = len(masks)
-    state = [np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF)) for _ in range(words)]
-    for j in range(steps):
+def _run(tables: np.ndarray, base: np.ndarray, columns: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Advance the bit-vector recurrence, one text character of all pairs per step.
+
+    ``tables[w]`` holds match word w of every (pattern, symbol), ``base`` a pair's offset into it,
+    ``columns[j]`` the j-th symbol of every pair, ``masks[w]`` the pattern bits that take part."""
+    words, n = masks.shape
+    state = np.full((words, n), np.uint64(0xFFFFFFFFFFFFFFFF))
+    slot, hit, total = np.empty(n, dtype=np.intp), np.empty(n, dtype=np.uint64), np.empty(n, dtype=np.uint64)
+    for column in columns:
+        np.add(base, column, out=slot)
         carry = None
         for w in range(words):
             s = state[w]
-            hit = s & pick(j, w)
-            total = s + hit
+            np.take(tables[w], slot, out=hit, mode="clip")
+            hit &= masks[w]
+            hit &= s
+            np.add(s, hit, out=total)
             if words > 1:
                 over = total < s
                 if carry is not None:
-                    bumped = total + carry
-                    over |= bumped < total
-                    total = bumped
+                    total += carry
+                    over |= total < carry
                 carry = over.astype(np.uint64)
-            state[w] = total | (s - hit)
-    found = np.zeros(n, dtype=np.int64)
-    for w in range(words):
-        found += np.bitwise_count(~state[w] & masks[w]).astype(np.int64)
-    return found
+            s -= hit
+            s |= total
+    return np.bitwise_count(~state & masks).sum(axis=0, dtype=np.int64)
 
 
 def lcs_lengths(left: Sequence[str], right: Sequence[str], cells: int = 1 << 22) -> np.ndarray:
@@ -78,18 +82,14 @@ def _lcs_slice(left: list[str], right: list[str]) -> np.ndarray:
         symbols = np.where(alphabet[symbols] == txt, symbols + 1, 0)
     words = max(1, -(-pat.shape[1] // _WORD))
     width = len(alphabet) + 1
-    table = [np.zeros(len(patterns) * width, dtype=np.uint64) for _ in range(words)]
-    full = [np.zeros(len(patterns), dtype=np.uint64) for _ in range(words)]
+    tables = np.zeros((words, len(patterns) * width), dtype=np.uint64)
+    full = np.zeros((words, len(patterns)), dtype=np.uint64)
     rows, cols = np.nonzero(np.arange(pat.shape[1])[None, :] < pat_len[:, None])
     slot = rows * width + 1 + np.searchsorted(alphabet, pat[rows, cols])
     bit = np.uint64(1) << (cols % _WORD).astype(np.uint64)
-    for w in range(words):
-        inside = cols // _WORD == w
-        np.bitwise_or.at(table[w], slot[inside], bit[inside])
-        np.bitwise_or.at(full[w], rows[inside], bit[inside])
-    slots = (which * width)[None, :] + symbols.T
-    return _run([f[which] for f in full], int(txt_len.max(initial=0)), len(left),
-                lambda j, w: table[w][slots[j]])
+    np.bitwise_or.at(tables, (cols // _WORD, slot), bit)
+    np.bitwise_or.at(full, (cols // _WORD, rows), bit)
+    return _run(tables, which * width, np.ascontiguousarray(symbols.T), full[:, which])
 
 
 def token_set_scores(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
@@ -190,13 +190,15 @@ class TitleBlock:
         bag = np.bincount(rows * size + self.symbols[rows, cols], minlength=self.n * size)
         self.bag = np.ascontiguousarray(bag.reshape(self.n, size).T.astype(np.uint16))
 
-    def best(self, titles: Sequence[str], k: int, floor: float, pairs: int = 1 << 15):
+    def best(self, titles: Sequence[str], k: int, floor: float, pairs: int = 1 << 14):
         """For each title the row numbers and scores of the k best rows scoring at least ``floor``
         (ties by position). Rows are skipped only when a bound proves they cannot be among them.
-        Titles are taken together until about ``pairs`` pairs share each numpy step."""
-        group = max(1, pairs // max(self.n, 1))
+        Titles of similar length are taken together, as many as keep a numpy step near ``pairs`` pairs."""
+        group = max(1, 2 * pairs // max(self.n, 1))
+        results: list = [None] * len(titles)
+        order = sorted(range(len(titles)), key=lambda i: len(titles[i]))
         for at in range(0, len(titles), group):
-            open_ = [_Search(self, t, k, floor) for t in titles[at:at + group]]
+            open_ = [_Search(self, titles[i], k, floor) for i in order[at:at + group]]
             size = 1024
             while True:
                 live = [(s, s.take(size)) for s in open_ if len(s.todo)]
@@ -208,23 +210,24 @@ class TitleBlock:
                     s.settle(rows, common[start:start + len(rows)])
                     start += len(rows)
                 size *= 2
-            for s in open_:
-                yield s.result()
+            for i, s in zip(order[at:at + group], open_):
+                results[i] = s.result()
+        return results
 
     def _common(self, live: list[tuple[_Search, np.ndarray]]) -> np.ndarray:
         """LCS of the unshared remainders, the shared tokens masked out of both sides."""
         words = max(-(-len(s.pattern) // _WORD) for s, _ in live)
         width = len(self.alphabet) + 1
         tables = np.zeros((words, len(live) * width), dtype=np.uint64)
-        keep, text = [], []
+        keep, text, base = [], [], []
         for g, (s, rows) in enumerate(live):
             s.fill_table(tables[:, g * width:(g + 1) * width])
             keep.append(s.kept_bits(rows, words))
-            text.append(s.remaining_text(rows).astype(np.intp) + g * width)
-        keep = np.concatenate(keep, axis=1)
-        columns = np.ascontiguousarray(np.concatenate(text).T)
+            text.append(s.remaining_text(rows))
+            base.append(np.full(len(rows), g * width, dtype=np.intp))
         steps = max(int(self.length[rows].max()) for _, rows in live)
-        return _run(list(keep), steps, keep.shape[1], lambda j, w: tables[w][columns[j]] & keep[w])
+        columns = np.ascontiguousarray(np.concatenate(text)[:, :steps].T)
+        return _run(tables, np.concatenate(base), columns, np.concatenate(keep, axis=1))
 
 
 class _Search:
@@ -236,34 +239,51 @@ class _Search:
         self.pattern = " ".join(query)
         self.todo = np.empty(0, dtype=np.int64)
         n = block.n
-        self.score = np.full(n, -1.0)
         self.bar = floor
+        self.score = np.where(block.count > 0, 0.0, -1.0) if query else np.full(n, -1.0)
         if not query or not n:
             return
-        self.match = np.zeros((n, len(query)), dtype=bool)
-        self.dropped = np.zeros((n, block.width + 1), dtype=bool)
-        for t, token in enumerate(query):
-            where = block.vocab.get(token)
-            if where is not None:
-                self.match[where[:, 0], t] = True
-                self.dropped[where[:, 0], where[:, 1]] = True
+        self.shared = np.zeros(n)
+        self.len_l = np.full(n, float(len(self.pattern)))
+        self.len_r = block.length.astype(np.float64)
+        bag = self._bag_overlap()
+        gaps = np.minimum(len(query), block.count) - 1
+        with np.errstate(invalid="ignore", divide="ignore"):
+            self.upper = 200.0 * (bag + gaps) / (self.len_l + self.len_r)
+        self._meet(bag)
+        self._raise_bar()
+        # the slack only absorbs rounding: a bound may keep a row too many, never one too few
+        todo = np.nonzero((self.upper >= self.bar - 1e-6) & (block.count > 0))[0]
+        self.todo = todo[np.argsort(-self.upper[todo], kind="stable")]
+
+    def _meet(self, bag: np.ndarray) -> None:
+        """Rows that share tokens: exact lengths, the score the shared part alone gives, its bound."""
+        block, query = self.block, self.query
+        found = [(t, block.vocab[token]) for t, token in enumerate(query) if token in block.vocab]
+        if not found:
+            self.place = np.full(block.n, -1)
+            return
+        rows = np.unique(np.concatenate([w[:, 0] for _, w in found]))
+        self.place = np.full(block.n, -1)
+        self.place[rows] = np.arange(len(rows))
+        self.match = np.zeros((len(rows), len(query)), dtype=bool)
+        self.dropped = np.zeros((len(rows), block.width + 1), dtype=bool)
+        for t, where in found:
+            at = self.place[where[:, 0]]
+            self.match[at, t] = True
+            self.dropped[at, where[:, 1]] = True
         sizes = np.array([len(t) for t in query], dtype=np.int64)
         common = self.match.sum(axis=1)
         chars = self.match @ sizes
-        left_n, right_n = len(query) - common, block.count - common
-        self.shared = (chars + np.maximum(common - 1, 0)).astype(np.float64)
-        self.len_l = (sizes.sum() - chars + np.maximum(left_n - 1, 0)).astype(np.float64)
-        self.len_r = (block.chars - chars + np.maximum(right_n - 1, 0)).astype(np.float64)
-        usable = block.count > 0
-        contained = (common > 0) & ((left_n == 0) | (right_n == 0))
-        lower = np.where(contained, 100.0, overlap_bound(self.shared, self.len_l, self.len_r))
-        ceiling = self._bag_overlap() - chars + np.maximum(np.minimum(left_n, right_n) - 1, 0)
-        upper = blend_token_set(self.shared, self.len_l, self.len_r, ceiling)
-        self.score[usable] = lower[usable]
-        self._raise_bar()
-        todo = np.nonzero(~contained & usable & (upper >= self.bar))[0]
-        self.todo = todo[np.argsort(-upper[todo], kind="stable")]
-        self.upper = upper
+        left_n, right_n = len(query) - common, block.count[rows] - common
+        self.shared[rows] = chars + common - 1
+        self.len_l[rows] = sizes.sum() - chars + np.maximum(left_n - 1, 0)
+        self.len_r[rows] = block.chars[rows] - chars + np.maximum(right_n - 1, 0)
+        lengths = self.shared[rows], self.len_l[rows], self.len_r[rows]
+        contained = (left_n == 0) | (right_n == 0)
+        self.score[rows] = np.where(contained, 100.0, overlap_bound(*lengths))
+        ceiling = bag[rows] - chars + np.maximum(np.minimum(left_n, right_n) - 1, 0)
+        self.upper[rows] = np.where(contained, -1.0, blend_token_set(*lengths, ceiling))
 
     def take(self, size: int) -> np.ndarray:
         rows, self.todo = self.todo[:size], self.todo[size:]
@@ -272,7 +292,7 @@ class _Search:
     def settle(self, rows: np.ndarray, common: np.ndarray) -> None:
         self.score[rows] = blend_token_set(self.shared[rows], self.len_l[rows], self.len_r[rows], common)
         self._raise_bar()
-        self.todo = self.todo[: np.searchsorted(-self.upper[self.todo], -self.bar, side="right")]
+        self.todo = self.todo[: np.searchsorted(-self.upper[self.todo], 1e-6 - self.bar, side="right")]
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         keep = np.nonzero(self.score >= self.bar)[0]
@@ -309,7 +329,15 @@ class _Search:
 
     def kept_bits(self, rows: np.ndarray, words: int) -> np.ndarray:
         """Pattern bits per row: the characters of unshared tokens, without a leading separator."""
-        query, match = self.query, self.match[rows]
+        query, place = self.query, self.place[rows]
+        bits = np.zeros((1, words * _WORD), dtype=np.uint8)
+        bits[:, :len(self.pattern)] = 1
+        whole = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        out = np.repeat(whole.T, len(rows), axis=1)
+        some = np.nonzero(place >= 0)[0]
+        if not len(some):
+            return out
+        match = self.match[place[some]]
         if len(query) < 63:
             code = match @ (1 << np.arange(len(query), dtype=np.int64))
             _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
@@ -320,19 +348,21 @@ class _Search:
         alive = ~kinds[:, owner]
         lead = np.concatenate(([0], np.cumsum([len(t) for t in query])[:-1] + np.arange(len(query) - 1)))
         start = np.argmin(kinds, axis=1)
-        some = np.nonzero(start > 0)[0]
-        alive[some, lead[start[some]]] = False
+        late = np.nonzero(start > 0)[0]
+        alive[late, lead[start[late]]] = False
         bits = np.zeros((len(kinds), words * _WORD), dtype=np.uint8)
         bits[:, :alive.shape[1]] = alive
         packed = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-        return np.ascontiguousarray(packed[inverse.ravel()].T)
+        out[:, some] = packed[inverse.ravel()].T
+        return out
 
     def remaining_text(self, rows: np.ndarray) -> np.ndarray:
         """Block symbols with shared tokens (and then a leading separator) blanked out."""
         text = self.block.symbols[rows]
-        some = np.nonzero(self.match[rows].any(axis=1))[0]
+        place = self.place[rows]
+        some = np.nonzero(place >= 0)[0]
         if len(some):
-            gone = self.dropped[rows[some]]
+            gone = self.dropped[place[some]]
             own = self.block.owner[rows[some]]
             off = np.take_along_axis(gone, own.astype(np.int64), axis=1)
             first = np.argmin(gone, axis=1)

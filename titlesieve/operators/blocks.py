@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 def grid(left: DataFrame, right: DataFrame, cell: str, left_rows: int, right_rows: int) -> DataFrame:
     """(cell, blocks of the left side, blocks of the right side) for cells present on both sides.
-    The right side is cut finer than its block size while that still feeds idle cores."""
+    The left side, whose rows are searched one by one in a prepared right block, is cut finer than
+    its limit, down to a fraction of it, while that feeds idle cores."""
     cores = left.sparkSession.sparkContext.defaultParallelism
     n = F.count("*")
-    fine = F.greatest(F.least(F.ceil(n / cores), F.lit(right_rows)), F.lit(max(right_rows // 16, 1)))
+    fine = F.greatest(F.least(F.ceil(n / cores), F.lit(left_rows)), F.lit(max(left_rows // 64, 1)))
     return (
-        left.groupBy(cell).agg(F.ceil(n / left_rows).cast("int").alias("_left_blocks"))
-        .join(right.groupBy(cell).agg(F.ceil(n / fine).cast("int").alias("_right_blocks")), cell)
+        left.groupBy(cell).agg(F.ceil(n / fine).cast("int").alias("_left_blocks"))
+        .join(right.groupBy(cell).agg(F.ceil(n / right_rows).cast("int").alias("_right_blocks")), cell)
     )
 
 
