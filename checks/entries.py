@@ -19,6 +19,7 @@ from titlesieve.plans import index, ingest, requests, screen, status, submit
 from titlesieve.plans.validate import profile_report
 from titlesieve.session import ensure_checkpoint_dir, ship_package
 from titlesieve.sources.reports import flatten_nested
+from titlesieve.sources.sheets import read_sheet
 from titlesieve.sources.store import TitleStore
 
 from . import sql, views
@@ -247,6 +248,17 @@ def store_reload_and_append(spark, sf):
     return store.read("corpus").select("id", "title", "record_status")
 
 
+@register(sql.query("SELECT doc_id::VARCHAR AS doc_id, titles, description, domain, contact_info FROM sheet", sql.SHEET))
+def sheet_scan(spark, sf):
+    """The raw table written as CSV under untidy headers and scanned back."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark)}/sheet-{uuid.uuid4().hex}"
+    untidy = views.sheet(spark, sf).toDF("doc_id", " Titles ", "DESCRIPTION", "Domain ", "contact_info")
+    untidy.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_sheet(spark, path)
+
+
 # ---------------------------------------------------------------- filters, requests, updates
 
 @register(sql.query("SELECT id, title, record_status FROM usable", sql.BASE))

@@ -27,6 +27,8 @@ class ScreeningConfig:
     top_matches: int = 5
     # dataset checks
     min_valid_titles: int = 6000
+    # distinct domains a one-row report may carry as a map; the domain table itself has no bound
+    max_map_entries: int = 10_000
     # clustering
     min_clusters: int = 10
     max_clusters: int = 200

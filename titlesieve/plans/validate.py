@@ -17,10 +17,16 @@ _COUNTS = ("total_rows", "valid_titles_count", "blank_titles_count", "missing_de
 
 
 def profile_report(raw: DataFrame, cfg: ScreeningConfig = ScreeningConfig()) -> DataFrame:
-    """The one-row report of a raw table; ``domain_counts`` holds one entry per distinct domain."""
+    """The one-row report of a raw table. ``domain_counts`` holds one entry per distinct domain; when
+    there are more than ``max_map_entries`` it is NULL and the whole is left to ``domain_counts()``,
+    which returns it as a table."""
     ship_package(raw.sparkSession)
-    domains = domain_counts(raw).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("domain", "rows")))).alias("domain_counts")
+    listed = domain_counts(raw).limit(cfg.max_map_entries + 1).agg(
+        F.collect_list(F.struct("domain", "rows")).alias("entries")
+    )
+    domains = listed.select(
+        F.when(F.size("entries") <= cfg.max_map_entries, F.map_from_entries(F.array_sort("entries")))
+        .alias("domain_counts")
     )
     # both sides are global aggregates: exactly one row each
     return with_validity(profile_counts(raw), cfg).join(F.broadcast(domains))
