@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 
@@ -21,7 +20,7 @@ def canonical(rows: list[tuple]) -> list[tuple]:
         if isinstance(v, bool) or v is None:
             return str(v)
         if isinstance(v, (int, float)):
-            return f"{float(v):.9g}" if math.isfinite(float(v)) else str(v)
+            return repr(float(v))
         return str(v)
 
     return sorted(tuple(cell(v) for v in r) for r in rows)

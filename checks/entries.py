@@ -17,7 +17,7 @@ from titlesieve.operators import clusters, decisions, exact, fuzzy, knn, profile
 from titlesieve.operators.ordinal import with_ordinal
 from titlesieve.plans import index, ingest, requests, screen, status, submit
 from titlesieve.plans.validate import profile_report
-from titlesieve.session import ensure_checkpoint_dir, ship_package
+from titlesieve.session import compute_tasks, ensure_checkpoint_dir, ship_package
 from titlesieve.sources.reports import flatten_nested
 from titlesieve.sources.sheets import read_sheet
 from titlesieve.sources.store import TitleStore
@@ -385,7 +385,7 @@ def _neighbour_pairs(spark, sf):
     """Titles of every proposal next to the titles of its nearest neighbours, distinct."""
     prepared, library = _prepared(spark, sf)
     hits = knn.nearest_neighbours(prepared, library.vectors, CFG.vector_fetch, CFG, _model(library)[1])
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = compute_tasks(spark)
     return (
         hits.join(library.corpus.select("id", "title", "normalized_title", "phonetic_code"), "id")
         .join(prepared.select(

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import compute_tasks
+
 
 def grid(left: DataFrame, right: DataFrame, cell: str, left_rows: int, right_rows: int) -> DataFrame:
     """(cell, blocks of the left side, blocks of the right side) for cells present on both sides.
@@ -60,6 +62,6 @@ def block_product(
     keys = (cell, "_lb", "_rb")
     # the exchange the cogroup needs anyway, but with a fixed number of tasks: the work of a block
     # pair grows with the product of its sides, so merging partitions by their bytes would serialise it
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = compute_tasks(left.sparkSession)
     cut_left, cut_right = cut_left.repartition(tasks, *keys), cut_right.repartition(tasks, *keys)
     return cut_left.groupBy(*keys).cogroup(cut_right.groupBy(*keys)).applyInArrow(kernel, schema)

@@ -57,3 +57,11 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(str(base), "zip", root_dir=root.parent, base_dir=root.name)
     spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
+
+
+def compute_tasks(spark: SparkSession) -> int:
+    """Task count of compute-heavy exchanges: three waves over the cores or what the session's shuffle
+    setting asks for, whichever is more; a single machine gains nothing from more than the waves."""
+    waves = 3 * spark.sparkContext.defaultParallelism
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(waves, asked) if spark.sparkContext.master.startswith("local") else max(waves, asked)
