@@ -8,7 +8,7 @@ from titlesieve.config import ScreeningConfig
 from titlesieve.functions.encoders import HashingEncoder, ModelEncoder
 from titlesieve.plans import index, ingest, status
 from titlesieve.plans.requests import split_requests
-from titlesieve.plans.screen import Library, screen
+from titlesieve.plans.screen import IndexNotReady, Library, load_library, prepare_proposals, screen
 from titlesieve.plans.submit import submit
 from titlesieve.plans.validate import validate_dataset
 from titlesieve.sources import schemas
@@ -93,7 +93,7 @@ def test_ingestion_index_clusters_and_screening(spark, folder):
     # every record finds itself first, from a saved and reloaded encoder
     encoder.save(f"{folder}/encoder")
     loaded = HashingEncoder.load(f"{folder}/encoder", 32)
-    library = Library(store.read("corpus"), store.read("vectors"), store.read("centroids"))
+    library = load_library(store)
     asked = loaded.encode(index.texts(library.corpus).join(library.corpus.select("id", "title", "domain"), "id"), "text")
     got = screen(asked.withColumnRenamed("id", "proposal_id"), library, SMALL).collect()
     assert all(r["proposal_id"] in [m["id"] for m in r["top_matches"]] for r in got)
@@ -105,6 +105,14 @@ def test_empty_corpus_is_not_indexed(spark, folder):
     assert index.build_index(store, HashingEncoder(8))[0] == 0 and index.build_clusters(store, HashingEncoder(8)) == 0
     assert not store.exists("vectors") and not status.is_healthy(store.read("vectors"))
     assert index.rebuild_index(store, HashingEncoder(8))["vector_count"] == 0
+    with pytest.raises(IndexNotReady):
+        load_library(store)
+    store.replace("vectors", spark.createDataFrame([(1, 0, [1.0])], schemas.VECTORS))
+    with pytest.raises(IndexNotReady):
+        load_library(store)
+    asked = spark.createDataFrame([], schemas.PROPOSALS)
+    with pytest.raises(IndexNotReady):
+        prepare_proposals(asked, Library(store.read("corpus"), store.read("vectors").limit(0)), SMALL)
 
 
 def test_encoders(spark):

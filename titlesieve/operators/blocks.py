@@ -24,8 +24,16 @@ def grid(left: DataFrame, right: DataFrame, cell: str, left_rows: int, right_row
     )
 
 
-def _spread(n: str) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+def _fine_rows(rows: int, limit: int, cores: int) -> int:
+    return max(min(-(-rows // cores), limit), limit // 64, 1)
+
+
+def _spread(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _block(key: str, n: Column) -> Column:
+    return F.pmod(F.xxhash64(key), n).cast("int")
 
 
 def block_product(
@@ -38,7 +46,6 @@ def block_product(
     right_rows: int,
     kernel: Callable,
     schema: str,
-    plan: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``kernel(left_table, right_table)`` on every pair of blocks within a cell.
 
@@ -46,22 +53,37 @@ def block_product(
     holding a third of the table becomes many groups, none above the block size. The grid has one
     row per cell and callers bound the number of cells, which makes it safe to broadcast.
     """
-    plan = F.broadcast(grid(left, right, cell, left_rows, right_rows) if plan is None else plan)
-    cut_left = (
-        left.join(plan, cell)
-        .withColumn("_lb", F.pmod(F.xxhash64(left_key), F.col("_left_blocks")).cast("int"))
-        .withColumn("_rb", _spread("_right_blocks"))
-        .drop("_left_blocks", "_right_blocks")
-    )
-    cut_right = (
-        right.join(plan, cell)
-        .withColumn("_rb", F.pmod(F.xxhash64(right_key), F.col("_right_blocks")).cast("int"))
-        .withColumn("_lb", _spread("_left_blocks"))
-        .drop("_left_blocks", "_right_blocks")
-    )
-    keys = (cell, "_lb", "_rb")
+    plan = F.broadcast(grid(left, right, cell, left_rows, right_rows))
+    n_left, n_right = F.col("_left_blocks"), F.col("_right_blocks")
+    cut_left = left.join(plan, cell).withColumn("_lb", _block(left_key, n_left)).withColumn("_rb", _spread(n_right))
+    cut_right = right.join(plan, cell).withColumn("_rb", _block(right_key, n_right)).withColumn("_lb", _spread(n_left))
+    return _meet(cut_left, cut_right, (cell, "_lb", "_rb"), kernel, schema)
+
+
+def whole_product(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    left_rows: int,
+    right_rows: int,
+    kernel: Callable,
+    schema: str,
+) -> DataFrame:
+    """The same without cells: every block of one table meets every block of the other."""
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    asked = left.count()
+    n_left = F.lit(max(-(-asked // _fine_rows(asked, left_rows, cores)), 1))
+    n_right = F.lit(max(-(-right.count() // right_rows), 1))
+    cut_left = left.withColumn("_lb", _block(left_key, n_left)).withColumn("_rb", _spread(n_right))
+    cut_right = right.withColumn("_rb", _block(right_key, n_right)).withColumn("_lb", _spread(n_left))
+    return _meet(cut_left, cut_right, ("_lb", "_rb"), kernel, schema)
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: tuple[str, ...], kernel: Callable, schema: str) -> DataFrame:
     # the exchange the cogroup needs anyway, but with a fixed number of tasks: the work of a block
     # pair grows with the product of its sides, so merging partitions by their bytes would serialise it
     tasks = compute_tasks(left.sparkSession)
-    cut_left, cut_right = cut_left.repartition(tasks, *keys), cut_right.repartition(tasks, *keys)
-    return cut_left.groupBy(*keys).cogroup(cut_right.groupBy(*keys)).applyInArrow(kernel, schema)
+    left = left.drop("_left_blocks", "_right_blocks").repartition(tasks, *keys)
+    right = right.drop("_left_blocks", "_right_blocks").repartition(tasks, *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import ScreeningConfig
 from ..functions.vectors import best_by_inner_product, matrix
 from ..session import cut_lineage
-from .blocks import block_product
+from .blocks import block_product, whole_product
 
 _MAX_RINGS = 32
 _CHUNK = 64  # queries whose bounds against all cells are held at once
@@ -63,8 +63,10 @@ def nearest_neighbours(
         if rows > (cfg.corpus_block_rows * len(model) if prune_from is None else prune_from):
             rings = int(min(max(rows // (cfg.corpus_block_rows * len(model)), 1), _MAX_RINGS))
             return top_hits(_pruned(queries, index, k, cfg, _unit_rows(model), rings), k)
-    one = F.lit(0)
-    return top_hits(_product(queries.withColumn("cell", one), index.withColumn("cell", one), k, cfg), k)
+    hits = whole_product(
+        queries, index, "proposal_id", "id", cfg.proposal_block_rows, cfg.corpus_block_rows, _kernel(k), _HITS
+    )
+    return top_hits(hits, k)
 
 
 def _product(queries: DataFrame, index: DataFrame, k: int, cfg: ScreeningConfig) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.vectors import unit
 from ..operators import candidates as cand
 from ..operators import clusters, decisions, exact, fuzzy, knn
 from ..session import cut_lineage, ship_package
+from ..sources.store import TitleStore
 
 
 @dataclass(frozen=True)
@@ -26,9 +27,26 @@ class Library:
     centroids: DataFrame | None = None
 
 
+class IndexNotReady(RuntimeError):
+    """The vector index is missing, empty or does not match its metadata."""
+
+
+def load_library(store: TitleStore) -> Library:
+    """The published tables of a store, refused when the index is unusable."""
+    if not store.exists("vectors"):
+        raise IndexNotReady("no vector index has been published")
+    vectors, meta = store.read("vectors"), store.read("index_meta").first()
+    if meta is None or meta["record_count"] != vectors.count():
+        raise IndexNotReady("the vector index does not match its metadata")
+    centroids = store.read("centroids") if store.exists("centroids") else None
+    return Library(store.read("corpus"), vectors, centroids)
+
+
 def prepare_proposals(proposals: DataFrame, library: Library, cfg: ScreeningConfig) -> DataFrame:
     """Everything about a proposal that is the same for all its pairs, computed before pairing."""
     ship_package(proposals.sparkSession)
+    if library.vectors.isEmpty():
+        raise IndexNotReady("the vector index is empty")
     keyed = proposals.withColumn("normalized_title", normalize_title(F.col("title"))).withColumns({
         "phonetic_code": phonetic_code(F.col("title"), F.col("normalized_title")),
         "embedding": unit(F.col("embedding")),

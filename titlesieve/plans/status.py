@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import round_exact
+from ..operators.rows import one_row
 
 LATENCY_TARGET_MS = 500.0
 
@@ -33,10 +34,8 @@ def index_health(corpus: DataFrame, vectors: DataFrame, centroids: DataFrame) ->
     )
     orphans = vectors.join(corpus.select("id"), "id", "left_anti").agg(F.count("*").alias("orphan_vectors"))
     clusters = centroids.agg(F.count("*").alias("cluster_count"))
-    # global aggregates, one row each
-    joined = index.join(F.broadcast(orphans)).join(F.broadcast(clusters))
     loaded = (F.col("vector_count") > 0) & (F.col("positions") == F.col("vector_count"))
-    return joined.select(
+    return one_row(index, orphans, clusters).select(
         F.when(loaded, "healthy").otherwise("degraded").alias("status"),
         loaded.alias("index_loaded"),
         "vector_count",

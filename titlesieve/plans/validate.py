@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ScreeningConfig
 from ..operators.profile import domain_counts, profile_counts, with_validity
+from ..operators.rows import one_row
 from ..session import ship_package
 from ..sources.reports import write_report
 from ..sources.sheets import open_sheet
@@ -28,8 +29,7 @@ def profile_report(raw: DataFrame, cfg: ScreeningConfig = ScreeningConfig()) ->
         F.when(F.size("entries") <= cfg.max_map_entries, F.map_from_entries(F.array_sort("entries")))
         .alias("domain_counts")
     )
-    # both sides are global aggregates: exactly one row each
-    return with_validity(profile_counts(raw), cfg).join(F.broadcast(domains))
+    return with_validity(one_row(profile_counts(raw), domains), cfg)
 
 
 def validate_dataset(
