@@ -216,8 +216,7 @@ SELECT row_number() OVER (ORDER BY doc_id) AS id, title, normal AS normalized_ti
 FROM (SELECT *, row_number() OVER (ORDER BY doc_id) + 1 AS source_row_number FROM normals) WHERE title IS NOT NULL
 """, sql.SHEET, _PROFILE_SQL))
 def ingested_records(spark, sf):
-    rows = ingest.with_source_rows(views.sheet(spark, sf), "doc_id")
-    records = with_ordinal(ingest.clean_records(rows, "sheet"), "source_row_number", "id", start=1)
+    records = ingest.clean_records(ingest.numbered_rows(views.sheet(spark, sf), "doc_id"), "sheet")
     return records.drop("created_at", "updated_at", "phonetic_code")
 
 
