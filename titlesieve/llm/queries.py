@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles, quality
+from . import bpe, oracles, quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,10 @@ def register(oracle: str | None = None):
 @register(oracles.quality())
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.op1(table(spark, folder, "documents"))
+
+
+@register()
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.op4(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
