@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, oracles, quality
+from . import bpe, langid, neardup, oracles, quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,8 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op5_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), neardup.NearDup(words=4))
+
+
+@register()
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.op2(table(spark, folder, "documents"))
