@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, neardup, oracles, quality
+from . import bpe, langid, mixing, neardup, oracles, quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def op5_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.op2(table(spark, folder, "documents"))
+
+
+@register()
+def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.op3(table(spark, folder, "documents"))
