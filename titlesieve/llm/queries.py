@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, neardup, oracles, quality
+from . import bpe, langid, mixing, neardup, oracles, quality, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.op3(table(spark, folder, "documents"))
+
+
+@register()
+def op10_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.op10(table(spark, folder, "documents"))
