@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .quality import RULES, QualityModel
+from .urls import RULES as RULES_URL
+from .urls import LinkTrust
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -25,9 +27,10 @@ def quality() -> str:
             FROM (SELECT *, {posterior} AS q FROM patterns, s{i}))""")
     return rf"""
 WITH base AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
-windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS times
-    FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM base)),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+spelled AS (SELECT r, i, x AS a, lead(x, 1) OVER o AS b, lead(x, 2) OVER o AS c
+    FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM base) WINDOW o AS (PARTITION BY r ORDER BY i)),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS times FROM spelled WHERE c IS NOT NULL),
 repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE times > 1) GROUP BY r),
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
@@ -41,3 +44,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {posterior} >= {model.threshold} AS kept, {', '.join(names)}
 FROM voted, s{model.rounds}"""
+
+
+def urls() -> str:
+    rules = sorted(RULES_URL, key=lambda r: (-len(r.text), r.text))
+    cfg = LinkTrust()
+    case = lambda v: "CASE " + " ".join(
+        f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{v(r)}'" for r in rules) + " END"
+    link = r"href\s*=\s*[\"'']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"''\s>]+)"
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rounds = "".join(f""",
+s{i + 1} AS MATERIALIZED (SELECT s.kind, s.host, s.seed, {1 - cfg.damping} * s.seed + {cfg.damping} * coalesce(c.came, 0) AS score
+  FROM s{i} s LEFT JOIN (SELECT f.kind, f."end" AS host, sum(score * part) AS came FROM s{i} s JOIN flow f
+  ON s.kind = f.kind AND s.host = f.start GROUP BY ALL) c ON s.kind = c.kind AND s.host = c.host)""" for i in range(cfg.rounds))
+    return rf"""
+WITH p AS MATERIALIZED (SELECT page_id, html, {low.format("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS MATERIALIZED (SELECT page_id, host, path, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS ruled FROM p),
+seeds AS MATERIALIZED (SELECT host, count(*) FILTER (ruled = 'allow') AS allowed, count(*) FILTER (ruled = 'block') AS blocked FROM r WHERE host <> '' GROUP BY 1),
+l AS MATERIALIZED (SELECT source, target, count(*) AS links FROM (SELECT host AS source,
+  {low.format(f"unnest(regexp_extract_all(html, '{link}', 1, 'i'))")} AS target FROM p) WHERE source <> '' AND source <> target GROUP BY ALL),
+flow AS MATERIALIZED (SELECT 'trust' AS kind, source AS start, target AS "end", links / sum(links) OVER (PARTITION BY source) AS part FROM l
+  UNION ALL SELECT 'distrust', target, source, links / sum(links) OVER (PARTITION BY target) FROM l),
+known AS (SELECT 'trust' AS kind, host, allowed / greatest(sum(allowed) OVER (), 1) AS seed FROM seeds
+  UNION ALL SELECT 'distrust', host, blocked / greatest(sum(blocked) OVER (), 1) FROM seeds),
+s0 AS MATERIALIZED (SELECT kind, host, coalesce(seed, 0) AS seed, coalesce(seed, 0) AS score FROM known
+  FULL JOIN (SELECT DISTINCT kind, "end" AS host FROM flow) USING (kind, host)){rounds},
+h AS (SELECT host, sum(score) FILTER (kind = 'trust') AS trust, sum(score) FILTER (kind = 'distrust') AS distrust FROM s{cfg.rounds} GROUP BY 1)
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) > {cfg.tolerance} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN h ON r.host = h.host"""

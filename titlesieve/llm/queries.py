@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, neardup, oracles, quality, sharding
+from . import bpe, langid, mixing, neardup, oracles, quality, sharding, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op10_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.op10(table(spark, folder, "documents"))
+
+
+@register(oracles.urls())
+def op7_link_trust(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.op7(table(spark, folder, "pages"))
