@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, neardup, oracles, quality, sharding, urls
+from . import ann, bpe, langid, mixing, neardup, oracles, quality, sharding, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op10_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
 @register(oracles.urls())
 def op7_link_trust(spark: SparkSession, folder: str) -> DataFrame:
     return urls.op7(table(spark, folder, "pages"))
+
+
+@register()
+def op9_collision_knn(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.op9(table(spark, folder, "embeddings"))
