@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, mixing, neardup, oracles, quality, sharding, urls
+from . import ann, bpe, langid, mixing, neardup, oracles, pages, quality, sharding, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op7_link_trust(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op9_collision_knn(spark: SparkSession, folder: str) -> DataFrame:
     return ann.op9(table(spark, folder, "embeddings"))
+
+
+@register()
+def op6_page_differencing(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.op6(table(spark, folder, "pages"))
