@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, mixing, neardup, oracles, pages, quality, sharding, urls
+from . import ann, bpe, langid, mixing, neardup, oracles, pages, pii, quality, sharding, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op9_collision_knn(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op6_page_differencing(spark: SparkSession, folder: str) -> DataFrame:
     return pages.op6(table(spark, folder, "pages"))
+
+
+@register()
+def op8_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.op8(table(spark, folder, "documents"))
