@@ -82,7 +82,8 @@ def predict(docs: DataFrame, model: Dictionaries, cfg: LanguageId = LanguageId()
             rows.append((model.languages[best], score, score < cfg.min_margin))
         return pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn(out, classify(letters(F.col(text))))
+    # marked so that a filter on the result does not run it a second time
+    return docs.withColumn(out, classify.asNondeterministic()(letters(F.col(text))))
 
 
 def held_out(doc_id: Column) -> Column:
