@@ -347,7 +347,7 @@ def fuzzy_matches(spark, sf):
 _FALLBACK = ("""
 scope AS (
   SELECT a.proposal_id, a.title AS a, t.title AS b, min(id) AS first_id, max(id) AS last_id
-  FROM asked a, (SELECT id, title FROM usable ORDER BY id LIMIT 500) t GROUP BY a.proposal_id, a.title, t.title)"""
+  FROM asked a, (SELECT id, title FROM usable) t GROUP BY a.proposal_id, a.title, t.title)"""
              + "," + sql.token_set("fz", "scope") + """,
 lexical AS (
   SELECT proposal_id, last_id AS id, b AS title, score, lex_rank FROM (
@@ -358,7 +358,7 @@ lexical AS (
 
 @register(sql.query("SELECT proposal_id, id, title, round(score, 9) AS score, lex_rank FROM lexical", sql.BASE, _FALLBACK))
 def fuzzy_fallback(spark, sf):
-    """Without a cluster model the first 500 usable records are the scope (part of the semantics)."""
+    """Without a cluster model all usable records are the scope."""
     asked = views.proposals(spark, sf)
     hits = fuzzy.fuzzy_hits(*fuzzy.scope(asked, views.corpus(spark, sf), CFG, False), CFG)
     return hits.select("proposal_id", "id", "title", F.round("score", 9).alias("score"), "lex_rank")
@@ -370,10 +370,7 @@ SELECT proposal_id, id, sources, round(raw_similarity, 9) AS raw_similarity FROM
 def candidates(spark, sf):
     """The whole candidate union, exact pairs spelled out."""
     prepared, library = _prepared(spark, sf)
-    semantic = knn.nearest_neighbours(prepared, library.vectors, CFG.vector_fetch, CFG, _model(library)[1])
-    lexical = fuzzy.fuzzy_hits(*fuzzy.scope(prepared, library.corpus, CFG, True), CFG)
-    merged = cand.merge_passes(semantic, lexical, exact.exact_pairs(prepared, library.corpus))
-    found = cand.admit(cand.attach_records(merged, library.corpus, prepared), CFG)
+    found = screen.all_candidates(prepared, library, CFG)
     return found.select("proposal_id", "id", F.array_join("sources", "+").alias("sources"),
                         F.round("raw_similarity", 9).alias("raw_similarity"))
 

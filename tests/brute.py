@@ -1,36 +1,30 @@
-"""The screening rules for one proposal at a time, in plain Python, for comparison."""
+"""What screening means for one proposal, stated with sets and tables in plain Python, for comparison."""
 
-import re
 import unicodedata
 
+import regex
+
 from titlesieve.functions import wording as w
 from titlesieve.functions.phonetic import word_key
 
 
 def normal(title):
-    folded = unicodedata.normalize("NFKC", title).casefold()
-    return " ".join(re.findall("[a-z0-9]+", folded))
+    plain = unicodedata.normalize("NFKC", title).casefold()
+    return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in plain).split())
 
 
 def domain_of(d):
-    if not d:
-        return "unknown"
-    return re.sub(r"\s+", "-", re.sub(r"\s*-\s*", "-", d.strip().lower()))
+    return "-".join("-".join(part.split()) for part in d.strip().lower().split("-")) if d else "unknown"
 
 
 def latin(t):
-    letters = [c for c in t if c.isalpha()]
-    if not t:
-        return False
-    if not letters:
-        return True
-    return sum("LATIN" in unicodedata.name(c, "") for c in letters) / len(letters) >= 0.8
+    letters = regex.findall(r"\p{L}", t)
+    return t != "" and len(regex.findall(r"\p{Latin}", "".join(letters))) >= 0.8 * len(letters)
 
 
 def code(t):
-    if not latin(t):
-        return None
-    return " ".join(k for k in map(word_key, normal(t).split()) if k) or None
+    keys = [word_key(x) for x in normal(t).split()] if latin(t) else []
+    return " ".join(filter(None, keys)) or None
 
 
 def lcs(a, b):
@@ -73,109 +67,86 @@ def dot(a, b):
     return total
 
 
-def score(q, c, sim, cfg):
-    nq, nc = normal(q), normal(c)
-    exact = nq == nc and nq != ""
-    lex = 0.0 if not nq or not nc else 1.0 if exact else max(token_set(nq, nc), token_sort(nq, nc)) / 100.0
-    kq, kc = code(q), code(c)
-    phon = None if not kq or not kc else 1.0 if kq == kc else token_set(kq, kc) / 100.0
-    sem = min(max(sim, 0.0), 1.0)
-    if exact:
-        sem = lex = 1.0
-    if phon is None:
-        ws, wl = cfg.pair_weights
-        wp = 0.0
-    else:
-        ws, wl, wp = cfg.semantic_weight, cfg.lexical_weight, cfg.phonetic_weight
-    final = 1.0 if exact else min(max(ws * sem + wl * lex + wp * (phon or 0.0), 0.0), 1.0)
-    return {"final_score": round(final, 4), "semantic_score": round(sem, 4), "lexical_score": round(lex, 4),
-            "phonetic_score": None if phon is None else round(phon, 4), "exact": exact}
-
-
-def nearest_clusters(vector, centroids, cfg):
-    ranked = sorted(centroids, key=lambda c: (-dot(vector, c["centroid"]) / (dot(c["centroid"], c["centroid"]) ** 0.5 + 1e-9),
-                                              c["cluster_id"]))
-    return [c["cluster_id"] for c in ranked[: cfg.cluster_top_n]]
+def signals(asked, held, similarity, cfg):
+    """(final, semantic, lexical, phonetic, exact) of a pair of titles."""
+    a, b, ka, kb = normal(asked), normal(held), code(asked), code(held)
+    if a and a == b:
+        return 1.0, 1.0, 1.0, (1.0 if ka and kb else None), True
+    lexical = max(token_set(a, b), token_sort(a, b)) / 100 if a and b else 0.0
+    phonetic = (1.0 if ka == kb else token_set(ka, kb) / 100) if ka and kb else None
+    values = [min(max(similarity, 0.0), 1.0), lexical] + ([] if phonetic is None else [phonetic])
+    weights = cfg.pair_weights if phonetic is None else (cfg.semantic_weight, cfg.lexical_weight, cfg.phonetic_weight)
+    return min(sum(x * y for x, y in zip(values, weights)), 1.0), values[0], lexical, phonetic, False
+
+
+def candidates(p, corpus, vectors, centroids, cfg):
+    """Records in the order of their discovery with their similarity, and the probed clusters. The passes as
+    sets: equal normal forms; admitted neighbours; best titles of the scope."""
+    usable = {r["id"]: r for r in corpus if r["record_status"] in ("active", "approved")}
+    equal = {i for i, r in usable.items() if normal(r["title"]) == normal(p["title"])}
+
+    def closeness(c):
+        return -dot(p["embedding"], c["centroid"]) / (dot(c["centroid"], c["centroid"]) ** 0.5 + 1e-9), c["cluster_id"]
+
+    probed = [c["cluster_id"] for c in sorted(centroids, key=closeness)][: cfg.cluster_top_n]
+    near = {i: dot(p["embedding"], v) for i, v in vectors.items()}
+    fetched = [i for i in sorted(near, key=lambda i: (-near[i], i))[: cfg.vector_fetch] if i in usable]
+    others = [i for i in fetched if i not in equal]
+    admitted = [i for place, i in enumerate(others) if place < cfg.top_k or not probed or usable[i]["cluster_id"] in probed]
+    in_order = sorted(usable)
+    scope = [i for i in in_order if usable[i]["cluster_id"] in probed] if probed else in_order[: cfg.fallback_rows]
+    first, last = {}, {}
+    for i in scope:
+        first.setdefault(usable[i]["title"], i)
+        last[usable[i]["title"]] = i
+    alike = {t: token_set(p["title"], t) for t in first}
+    titles = [t for t in sorted(first, key=lambda t: (-alike[t], first[t]))[: cfg.top_k] if alike[t] >= cfg.fuzzy_floor]
+    order = dict.fromkeys([*sorted(equal), *admitted, *(last[t] for t in titles)])
+    seen = {*admitted, *(i for i in fetched if i in equal)}
+    return [(usable[i], near[i] if i in seen else 0.0) for i in order], probed
 
 
 def screen_one(p, corpus, vectors, centroids, cfg):
     """``p`` and ``corpus`` rows are dicts, ``vectors`` maps id to a unit vector."""
-    active = sorted((r for r in corpus if r["record_status"] in ("active", "approved")), key=lambda r: r["id"])
-    by_id = {r["id"]: r for r in active}
-    found = {}
-    for r in active:
-        if normal(r["title"]) == normal(p["title"]):
-            found[r["id"]] = 0.0
-    probed = nearest_clusters(p["embedding"], centroids, cfg)
-    hits = sorted(((-dot(p["embedding"], v), i) for i, v in vectors.items()))[: cfg.vector_fetch]
-    added = 0
-    for negative, i in hits:
-        if i not in by_id:
-            continue
-        sim = min(max(-negative, 0.0), 1.0)
-        if i in found:
-            found[i] = sim
-        elif not probed or by_id[i]["cluster_id"] in probed or added < cfg.top_k:
-            found[i] = sim
-            added += 1
-    rows = [r for r in active if r["cluster_id"] in probed] if probed else active[: cfg.fallback_rows]
-    choices = {}
-    for r in rows:
-        choices[r["title"]] = r
-    scored = sorted(((-token_set(p["title"], t), n, t) for n, t in enumerate(choices)))[: cfg.top_k]
-    for negative, _, t in scored:
-        if -negative >= cfg.fuzzy_floor:
-            found.setdefault(choices[t]["id"], 0.0)
-
-    ranked = [(score(p["title"], by_id[i]["title"], sim, cfg), by_id[i]) for i, sim in found.items()]
-    ranked.sort(key=lambda x: -x[0]["final_score"])
-    if not ranked:
+    found, probed = candidates(p, corpus, vectors, centroids, cfg)
+    if not found:
         return {"decision": w.CLEAR, "risk": w.LOW, "final_score": 0.0, "reasons": [w.REASON_NO_CANDIDATES],
                 "explanation": w.SENTENCE_NO_CANDIDATES, "matches": [], "candidate_count": 0}
-    top, best = ranked[0]
-    exact = any(s["exact"] for s, _ in ranked)
-    final = 1.0 if exact else top["final_score"]
-    reasons = [w.REASON_EXACT] if exact else []
-    if exact or final >= cfg.conflict_threshold:
-        decision, risk = w.CONFLICT, w.HIGH
-    elif final >= cfg.review_threshold:
-        decision, risk = w.REVIEW, w.MEDIUM
-    else:
-        decision, risk = w.CLEAR, w.LOW
-    if not exact:
-        if top["lexical_score"] >= cfg.lexical_reason_min:
-            reasons.append(w.REASON_LEXICAL)
-        if top["semantic_score"] >= cfg.semantic_reason_min:
-            reasons.append(w.REASON_SEMANTIC)
-        if top["phonetic_score"] is not None and top["phonetic_score"] >= cfg.phonetic_reason_min:
-            reasons.append(w.REASON_PHONETIC)
-    asked = domain_of(p["domain"])
-    if asked not in ("", "unknown") and any(domain_of(r["domain"]) == asked for _, r in ranked[: cfg.domain_lookback]):
-        reasons.append(w.REASON_DOMAIN)
-    if probed and best["cluster_id"] is not None and best["cluster_id"] in probed:
-        reasons.append(w.REASON_CLUSTER)
-    if not reasons:
-        reasons = [w.REASON_NOTHING if decision == w.CLEAR else w.REASON_MIXED]
-    sentence = {w.CONFLICT: w.SENTENCE_CONFLICT, w.REVIEW: w.SENTENCE_REVIEW, w.CLEAR: w.SENTENCE_CLEAR}[decision]
+    told = [(signals(p["title"], r["title"], similarity, cfg), r) for r, similarity in found]
+    shown = [(tuple(None if x is None else round(x, 4) for x in s[:4]), s[4], r) for s, r in told]
+    shown.sort(key=lambda x: -x[0][0])
+    (final, semantic, lexical, phonetic), _, best = shown[0]
+    exact = any(e for _, e, _ in shown)
+    final = 1.0 if exact else final
+    outcomes = ((cfg.conflict_threshold, w.CONFLICT, w.HIGH, w.SENTENCE_CONFLICT), (cfg.review_threshold, w.REVIEW, w.MEDIUM, w.SENTENCE_REVIEW),
+                (float("-inf"), w.CLEAR, w.LOW, w.SENTENCE_CLEAR))
+    decision, risk, sentence = next(o[1:] for o in outcomes if final >= o[0])
+    asked, domains = domain_of(p["domain"]), {domain_of(r["domain"]) for _, _, r in shown[: cfg.domain_lookback]}
+    table = (
+        (exact, w.REASON_EXACT),
+        (not exact and lexical >= cfg.lexical_reason_min, w.REASON_LEXICAL),
+        (not exact and semantic >= cfg.semantic_reason_min, w.REASON_SEMANTIC),
+        (not exact and (phonetic or 0.0) >= cfg.phonetic_reason_min, w.REASON_PHONETIC),
+        (asked in domains - {"", "unknown"}, w.REASON_DOMAIN),
+        (best["cluster_id"] in probed, w.REASON_CLUSTER),
+    )
+    reasons = [text for holds, text in table if holds] or [w.REASON_NOTHING if decision == w.CLEAR else w.REASON_MIXED]
     for slot, value in (("%1$s", p["title"]), ("%2$s", best["title"]), ("%3$s", f"{final:.2f}")):
         sentence = sentence.replace(slot, value)
-    return {"decision": decision, "risk": risk, "final_score": round(final, 4), "reasons": reasons,
-            "explanation": sentence, "candidate_count": len(ranked),
-            "matches": [(r["id"], s["semantic_score"], s["lexical_score"], s["phonetic_score"], s["final_score"])
-                        for s, r in ranked[: cfg.top_matches]]}
+    return {"decision": decision, "risk": risk, "final_score": round(final, 4), "reasons": reasons, "explanation": sentence,
+            "candidate_count": len(shown),
+            "matches": [(r["id"], s[1], s[2], s[3], s[0]) for s, _, r in shown[: cfg.top_matches]]}
+
+
+STATUS_OF = {w.CONFLICT: w.STATUS_REJECTED, w.REVIEW: w.STATUS_PENDING, w.CLEAR: w.STATUS_APPROVED}
 
 
 def submit_one_by_one(batch, corpus, vectors, centroids, cfg):
     """Sequential intake: each proposal is screened, stored and visible to the next."""
-    corpus = [dict(r) for r in corpus]
-    status = {w.CONFLICT: w.STATUS_REJECTED, w.REVIEW: w.STATUS_PENDING, w.CLEAR: w.STATUS_APPROVED}
-    next_id = max(r["id"] for r in corpus) + 1
-    out = []
-    for p in sorted(batch, key=lambda r: r["seq"]):
-        verdict = screen_one(p, corpus, vectors, centroids, cfg)
-        corpus.append({"id": next_id, "title": p["title"], "domain": domain_of(p["domain"]), "cluster_id": None,
-                       "record_status": status[verdict["decision"]]})
-        out.append({**verdict, "submission_id": next_id, "record_status": status[verdict["decision"]],
-                    "proposal_id": p["proposal_id"]})
-        next_id += 1
+    held, out = list(corpus), []
+    for number, p in enumerate(sorted(batch, key=lambda r: r["seq"]), start=max(r["id"] for r in corpus) + 1):
+        verdict = screen_one(p, held, vectors, centroids, cfg)
+        stored = {"id": number, "record_status": STATUS_OF[verdict["decision"]]}
+        held.append(stored | {"title": p["title"], "domain": domain_of(p["domain"]), "cluster_id": None})
+        out.append(verdict | {"submission_id": number, "record_status": stored["record_status"], "proposal_id": p["proposal_id"]})
     return out

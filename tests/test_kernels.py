@@ -59,3 +59,10 @@ def test_inner_product_search_with_copies_and_zero_vectors():
             want = sorted((-dot(queries[q], c), int(i)) for c, i in zip(corpus, ids))[:k]
             mine = rows == q
             assert [(-s, i) for s, i in zip(sims[mine].tolist(), got[mine].tolist())] == want
+
+
+def test_counts_of_very_long_titles_do_not_wrap():
+    """Letter counts and token numbers beyond 16 bits, on which the bounds of the search rest."""
+    assert TitleBlock(["a" * 65_600 + "b", "short"], np.arange(2)).bag.max() == 65_600
+    many = " ".join(f"t{i}" for i in range(33_000))
+    assert TitleBlock([many], np.arange(1)).owner.max() == 32_999

@@ -105,3 +105,74 @@ def test_oversized_model_is_refused(spark):
     model = spark.range(20).select(F.col("id").cast("int").alias("cluster_id"), F.array(F.lit(1.0)).alias("centroid"))
     with pytest.raises(ValueError):
         clusters.load_model(model, ScreeningConfig(max_model_rows=10))
+
+
+def test_pruning_keeps_neighbours_of_queries_near_a_centroid(spark):
+    """Angles near 0 lose nothing: copies of the centroid and vectors just beside it, in few and many dimensions."""
+    import numpy as np
+
+    for seed, dimension, k in ((1, 4, 5), (2, 384, 1)):
+        gen = np.random.default_rng(seed)
+        centres = unit_rows(gen.normal(size=(3, dimension)))
+        beside = unit_rows(np.repeat(centres, 60, axis=0) + 10.0 ** gen.uniform(-6, -0.5, size=(180, 1)) * gen.normal(size=(180, dimension)))
+        points = np.concatenate([beside, centres, centres])
+        asked = unit_rows(np.repeat(centres, 8, axis=0) + 10.0 ** gen.uniform(-7, -3, size=(24, 1)) * gen.normal(size=(24, dimension)))
+        vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "id long, embedding array<float>")
+        queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate([*asked, *centres])],
+                                        "proposal_id long, embedding array<float>")
+        cfg = ScreeningConfig(corpus_block_rows=20, proposal_block_rows=8)
+        plain = knn.nearest_neighbours(queries, vectors, k, cfg).collect()
+        pruned = knn.nearest_neighbours(queries, vectors, k, cfg, centres, prune_from=0).collect()
+        assert sorted(plain) == sorted(pruned)
+
+
+def test_ceilings_hold():
+    import numpy as np
+
+    gen = np.random.default_rng(4)
+    for dimension in (3, 64, 384):
+        centre = unit_rows(gen.normal(size=(1, dimension)))
+        spread = 10.0 ** gen.uniform(-7, 0, size=(2000, 1))
+        points, asked = (unit_rows(centre + spread * gen.normal(size=(2000, dimension))) for _ in range(2))
+        angle = knn._angles(points, centre)[:, 0]
+        for q, p, a in zip(asked, points, angle):
+            cell = knn.Cells(centre, 1, [{"cell": 0, "n": 1, "low": a, "high": a}])
+            assert cell.ceilings(q[None])[0, 0] >= (q.astype(np.float64) * p.astype(np.float64)).sum()
+
+
+def test_vectors_with_gaps_are_refused():
+    import pyarrow as pa
+
+    from titlesieve.functions.vectors import matrix
+
+    assert matrix(pa.array([[1.0, 2.0], [3.0, 4.0]])).shape == (2, 2)
+    for rows in ([[1.0, 0.0], None], [[1.0], [1.0, 2.0]], [[1.0, None]]):
+        with pytest.raises(ValueError):
+            matrix(pa.array(rows, pa.list_(pa.float32())))
+
+
+def test_repeated_updates_do_not_multiply_rows(spark):
+    from titlesieve.operators.updates import update_column
+
+    table = spark.createDataFrame([(1, 5), (2, 6)], "id long, position long")
+    fresh = spark.createDataFrame([(1, 7), (1, 9), (3, 1)], "id long, position long")
+    assert sorted(map(tuple, update_column(table, fresh, "position").collect())) == [(1, 9), (2, 6)]
+
+
+def test_fallback_scope_is_whole(spark):
+    cfg = ScreeningConfig(top_k=2)
+    corpus = spark.range(800).select("id", F.concat(F.lit("title "), "id").alias("title"), F.lit("active").alias("record_status"))
+    asked = spark.createDataFrame([(1, "title 777", [])], "proposal_id long, title string, cluster_ids array<int>")
+    assert fuzzy.fuzzy_hits(*fuzzy.scope(asked, corpus, cfg, False), cfg).filter("lex_rank = 1").first()["title"] == "title 777"
+
+
+def test_percentiles_by_rank(spark):
+    import numpy as np
+
+    from titlesieve.plans.status import percentiles
+
+    values = [float(x) for x in np.random.default_rng(3).integers(0, 40, size=501)]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "ms double")
+    got = percentiles(rows, "ms", (0.0, 0.5, 0.95, 0.99, 1.0)).first()
+    assert np.allclose(list(got), np.percentile(values, [0, 50, 95, 99, 100]))
+    assert list(percentiles(rows.limit(0), "ms", (0.5,)).first()) == [None]

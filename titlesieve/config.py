@@ -12,7 +12,7 @@ class ScreeningConfig:
     vector_fetch_factor: int = 3
     cluster_top_n: int = 3
     fuzzy_floor: float = 60.0
-    fallback_rows: int = 500
+    fallback_rows: int | None = None  # lexical scope without clusters: all usable rows, or the first so many
     # scoring
     semantic_weight: float = 0.50
     lexical_weight: float = 0.30

@@ -171,7 +171,7 @@ class TitleBlock:
         # token ordinal of every character; a separator belongs to the token after it
         strings = [" ".join(s) for s in sets]
         codes, self.length = _code_matrix(strings)
-        owner = np.full(codes.shape, width, dtype=np.int16)
+        owner = np.full(codes.shape, width, dtype=np.int16 if width < 2**15 else np.int32)
         for i, s in enumerate(sets):
             at = 0
             for ordinal, token in enumerate(s):
@@ -188,7 +188,8 @@ class TitleBlock:
         rows, cols = np.nonzero(codes)
         size = len(self.alphabet) + 1
         bag = np.bincount(rows * size + self.symbols[rows, cols], minlength=self.n * size)
-        self.bag = np.ascontiguousarray(bag.reshape(self.n, size).T.astype(np.uint16))
+        count = np.uint16 if codes.shape[1] < 2**16 else np.uint32
+        self.bag = np.ascontiguousarray(bag.reshape(self.n, size).T.astype(count))
 
     def best(self, titles: Sequence[str], k: int, floor: float, pairs: int = 1 << 14):
         """For each title the row numbers and scores of the k best rows scoring at least ``floor``

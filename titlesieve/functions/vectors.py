@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,10 +28,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list<float> Arrow column as an (n, d) float32 matrix without per-row objects."""
+    """A list<float> Arrow column as an (n, d) float32 matrix without per-row objects. Nulls and rows of other
+    lengths are refused, as they would shift every later vector."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
+    if column.null_count or column.flatten().null_count or len(set(pc.list_value_length(column).to_pylist())) > 1:
+        raise ValueError("vectors of a block must be of one length, without nulls")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
     return flat.reshape(n, -1) if n else np.empty((0, 0), dtype=np.float32)
 

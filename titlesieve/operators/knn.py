@@ -20,7 +20,6 @@ from .blocks import block_product, whole_product
 
 _MAX_RINGS = 32
 _CHUNK = 64  # queries whose bounds against all cells are held at once
-_SLACK = 1e-4  # covers single-precision angles; only ever widens the search
 _HITS = "proposal_id long, id long, similarity double"
 
 
@@ -77,12 +76,27 @@ def _product(queries: DataFrame, index: DataFrame, k: int, cfg: ScreeningConfig)
 
 
 def _angles(vectors: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(vectors @ directions.T, -1.0, 1.0))
+    """Angles in double precision from the distance of the normalised rows, 2 arcsin(|a - b| / 2): unlike the
+    arc cosine of a product it loses nothing near 0, where queries lie that are close to a centroid."""
+    a, b = _unit_rows(vectors), _unit_rows(directions)
+    out = np.empty((len(a), len(b)))
+    for j, centre in enumerate(b):
+        apart = a - centre
+        out[:, j] = 2 * np.arcsin(np.minimum(np.sqrt(np.einsum("ij,ij->i", apart, apart)) / 2, 1.0))
+    return out
 
 
 def _unit_rows(model: np.ndarray) -> np.ndarray:
+    model = np.asarray(model, dtype=np.float64)
     lengths = np.linalg.norm(model, axis=1, keepdims=True)
-    return (model / np.maximum(lengths, 1e-12)).astype(np.float32)
+    return np.divide(model, lengths, out=np.zeros_like(model), where=lengths > 0)
+
+
+def _slack(dimension: int) -> float:
+    """What a ceiling must allow for: stored unit vectors are rounded to single precision, so a product of
+    two differs from the cosine of their angle by up to the rounding of their lengths (d ulps of single
+    precision, both sides); the angles themselves are exact to a few ulps of double precision."""
+    return 4 * (dimension + 4) * float(np.finfo(np.float32).eps)
 
 
 def assign_cells(index: DataFrame, directions: np.ndarray, rings: int) -> DataFrame:
@@ -92,7 +106,7 @@ def assign_cells(index: DataFrame, directions: np.ndarray, rings: int) -> DataFr
     def run(batches):
         for batch in batches:
             m = matrix(batch.column("embedding"))
-            out, away = np.full(len(m), -1, dtype=np.int32), np.zeros(len(m), dtype=np.float32)
+            out, away = np.full(len(m), -1, dtype=np.int32), np.zeros(len(m))
             live = np.nonzero(m.any(axis=1))[0] if len(m) else np.empty(0, dtype=np.int64)
             if len(live):
                 angle = _angles(m[live], directions)
@@ -105,7 +119,7 @@ def assign_cells(index: DataFrame, directions: np.ndarray, rings: int) -> DataFr
                 names=["id", "embedding", "cell", "angle"],
             )
 
-    return index.mapInArrow(run, "id long, embedding array<float>, cell int, angle float")
+    return index.mapInArrow(run, "id long, embedding array<float>, cell int, angle double")
 
 
 class Cells:
@@ -121,10 +135,10 @@ class Cells:
 
     def ceilings(self, queries: np.ndarray) -> np.ndarray:
         """Highest similarity any vector of each cell could have with each query."""
-        angle = _angles(queries, self.directions)[:, self.centre]
-        bound = np.cos(np.maximum(np.maximum(angle - self.high, self.low - angle), 0.0)) + _SLACK
-        bound[~queries.any(axis=1)] = _SLACK
-        bound[:, self.ids < 0] = _SLACK
+        angle, slack = _angles(queries, self.directions)[:, self.centre], _slack(queries.shape[1])
+        bound = np.cos(np.clip(np.maximum(angle - self.high, self.low - angle), 0.0, np.pi)) + slack
+        bound[~queries.any(axis=1)] = slack
+        bound[:, self.ids < 0] = slack
         return bound
 
     def opening(self, bound: np.ndarray, k: int) -> np.ndarray:
@@ -156,7 +170,8 @@ def _visits(queries: DataFrame, decide) -> DataFrame:
 def _pruned(
     queries: DataFrame, index: DataFrame, k: int, cfg: ScreeningConfig, directions: np.ndarray, rings: int
 ) -> DataFrame:
-    celled = assign_cells(index, directions, rings)
+    # read by the statistics and by both products: assigned once
+    celled = cut_lineage(assign_cells(index, directions, rings))
     # at most max_model_rows * _MAX_RINGS + 1 rows of four numbers
     stats = celled.groupBy("cell").agg(
         F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")

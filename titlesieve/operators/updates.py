@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def update_column(table: DataFrame, updates: DataFrame, column: str, key: str = "id") -> DataFrame:
-    """New values replace old ones by key; unlisted rows keep theirs, unknown keys change nothing."""
-    fresh = updates.select(key, F.col(column).alias("_new"))
+    """New values replace old ones by key; unlisted rows keep theirs, unknown keys change nothing. Of a key
+    listed several times the largest value counts, so that no row is multiplied."""
+    fresh = updates.groupBy(key).agg(F.max(column).alias("_new"))
     order = table.columns
     return (
         table.join(fresh, key, "left")

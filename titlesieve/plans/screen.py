@@ -76,6 +76,19 @@ def retrieve_candidates(prepared: DataFrame, library: Library, cfg: ScreeningCon
     return cand.admit(pairs, cfg), heads
 
 
+def all_candidates(prepared: DataFrame, library: Library, cfg: ScreeningConfig) -> DataFrame:
+    """The whole candidate union, every exact pair spelled out. Screening itself goes by the heads of the exact
+    pass, which say the same about a verdict without listing the holders of a common title."""
+    clustered, model = False, None
+    if library.centroids is not None:
+        ids, model = clusters.load_model(library.centroids, cfg)
+        clustered = len(ids) > 0
+    semantic = knn.nearest_neighbours(prepared, library.vectors, cfg.vector_fetch, cfg, model)
+    lexical = fuzzy.fuzzy_hits(*fuzzy.scope(prepared, library.corpus, cfg, clustered), cfg)
+    merged = cand.merge_passes(semantic, lexical, exact.exact_pairs(prepared, library.corpus))
+    return cand.admit(cand.attach_records(merged, library.corpus, prepared), cfg)
+
+
 def ranked_candidates(prepared: DataFrame, library: Library, cfg: ScreeningConfig) -> tuple[DataFrame, DataFrame]:
     found, heads = retrieve_candidates(prepared, library, cfg)
     return cand.rank_candidates(cand.score_candidates(found, cfg)), heads

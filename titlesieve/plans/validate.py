@@ -59,4 +59,5 @@ def validate_dataset(
     )
     if report_folder:
         write_report(report, report_folder)
+        domain_counts(raw).write.mode("overwrite").parquet(f"{report_folder}/domain_counts")
     return report

@@ -27,12 +27,14 @@ def build_session(app: str = "titlesieve", master: str | None = None, **extra: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; fall back to a fresh one only if none is set."""
+    """The shared folder the cluster names. Only a single machine without one gets a temporary folder."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not configured and sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="titlesieve-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
@@ -61,7 +63,7 @@ def ship_package(spark: SparkSession) -> None:
 
 def compute_tasks(spark: SparkSession) -> int:
     """Task count of compute-heavy exchanges: three waves over the cores or what the session's shuffle
-    setting asks for, whichever is more; a single machine gains nothing from more than the waves."""
+    setting asks for, whichever is more."""
     waves = 3 * spark.sparkContext.defaultParallelism
     asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(waves, asked) if spark.sparkContext.master.startswith("local") else max(waves, asked)
+    return max(waves, asked)
