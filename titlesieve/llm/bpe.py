@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from functools import lru_cache
-from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_REMEMBERED = 300_000  # pre-tokens whose ids a worker keeps; the store is emptied when full
+_REMEMBERED = 200_000  # pre-tokens whose ids a worker keeps; the store is emptied when full
 _LONG = 256  # longer pre-tokens are not kept
 _SLICE = 1_000_000  # characters of texts that are cut and merged at once, or one longer text
+_ROWS = 256  # rows whose results are held at once
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -68,35 +69,31 @@ class RankQueue:
     """Places by merge rank; the lowest filled rank is found with three find-first-set steps."""
 
     def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}  # each a heap, leftmost place first
+        self.buckets: dict[int, list[int]] = {}
         self.low = [0] * ((ranks >> 6) + 1)
         self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
 
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, place)
-        else:
-            self.fill(rank, [place])
-
     def fill(self, rank: int, places: list[int]) -> None:
+        """Opens the bucket of ``rank``; further places are appended to it."""
         self.buckets[rank] = places
         self.low[rank >> 6] |= 1 << (rank & 63)
         self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
         self.top |= 1 << (rank >> 12)
 
-    def lowest(self) -> int:
+    def lowest(self) -> tuple[int, list[int]]:
+        """Takes out the lowest filled bucket, its places from left to right."""
         a = (self.top & -self.top).bit_length() - 1
         b = a << 6 | (self.mid[a] & -self.mid[a]).bit_length() - 1
-        return b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
-
-    def clear(self, rank: int) -> None:
-        self.low[rank >> 6] &= ~(1 << (rank & 63))
-        if not self.low[rank >> 6]:
-            self.mid[rank >> 12] &= ~(1 << (rank >> 6 & 63))
-            if not self.mid[rank >> 12]:
-                self.top &= ~(1 << (rank >> 12))
+        rank = b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
+        self.low[b] &= ~(1 << (rank & 63))
+        if not self.low[b]:
+            self.mid[a] &= ~(1 << (b & 63))
+            if not self.mid[a]:
+                self.top &= ~(1 << a)
+        places = self.buckets.pop(rank)
+        places.sort()
+        return rank, places
 
 
 class Tokenizer:
@@ -132,38 +129,48 @@ class Tokenizer:
         pair = ranks.tolist()  # rank of the pair that starts here, -1: none
         order = np.argsort(ranks, kind="stable")
         order = order[np.searchsorted(ranks[order], 0):]
-        if len(order):
-            cuts = np.flatnonzero(np.diff(ranks[order])) + 1
-            for places in np.split(order, cuts):
-                queue.fill(pair[places[0]], places.tolist())
+        cuts = [0, *(np.flatnonzero(np.diff(ranks[order])) + 1).tolist(), len(order)] if len(order) else []
+        order = order.tolist()
+        for i, j in zip(cuts, cuts[1:]):
+            queue.fill(pair[order[i]], order[i:j])
         after, before, alive = list(range(1, n + 1)), list(range(-1, n)), bytearray(b"\1") * n
-        push, buckets = queue.push, queue.buckets
+        borders, buckets, fill = ends.tolist(), queue.buckets, queue.fill
         while queue.top:
-            rank = queue.lowest()
-            bucket = buckets[rank]
-            while bucket:
-                at = heappop(bucket)
+            rank, bucket = queue.lowest()
+            wait, put_off = -1, []
+            for at in bucket:
                 if pair[at] != rank:
                     continue  # stale
+                if at < wait:
+                    put_off.append(at)
+                    continue
                 gone = after[at]
                 right = after[gone]
                 after[at], before[right] = right, at
                 pair[gone], alive[gone], ids[at] = -1, 0, rank
-                new = lower = -1 if border[right] else get(buf[at:after[right]], -1)
-                pair[at] = new
-                if new >= 0:
-                    push(new, at)
+                if border[right]:
+                    pair[at] = lowest = -1
+                else:
+                    pair[at] = lowest = new = get(buf[at:after[right]], -1)
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(at)
+                        else:
+                            fill(new, [at])
                 if not border[at]:
                     left = before[at]
                     pair[left] = new = get(buf[left:right], -1)
                     if new >= 0:
-                        push(new, left)
+                        if new in buckets:
+                            buckets[new].append(left)
+                        else:
+                            fill(new, [left])
                         if new < rank:
-                            break
-                if 0 <= lower < rank:
-                    break
-            if not bucket:
-                queue.clear(rank)
+                            lowest = new
+                if 0 <= lowest < rank:  # comes first within this pre-token; the others do not mind
+                    wait = borders[bisect_right(borders, at)]
+            if put_off:
+                fill(rank, put_off + buckets.get(rank, []))
         live = np.frombuffer(alive, dtype=np.uint8).astype(bool)
         packed, upto = np.array(ids, dtype="<u4")[live].tobytes(), [0, *(4 * np.cumsum(live)[ends - 1]).tolist()]
         return [packed[a:b] for a, b in zip(upto, upto[1:])]
@@ -225,8 +232,10 @@ def _mapped(df: DataFrame, column: str, out: str, convert) -> DataFrame:
     def run(batches):
         change = convert()
         for batch in batches:
-            values = pa.array(change(batch.column(source).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, out])
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                values = pa.array(change(part.column(source).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
