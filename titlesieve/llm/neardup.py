@@ -1,27 +1,28 @@
 """Near-duplicate documents: banded MinHash proposes, odd sketches screen, full shingle sets decide.
 
 Equal sets are one class from the start, so copies cost nothing further. A class joins the bucket of each
-of its bands. First every bucket links its members to one leader only; what the full sets confirm is
-merged into components. Then, in buckets whose members still lie in several components, the remaining
-pairs across components are screened. A group of thousands of near copies thus never meets pair by pair,
-and no candidate between different components is dropped, however large its bucket.
+of its bands. First every bucket compares its members with a few random leaders only; what the full sets
+confirm is merged into components, and this is repeated with other leaders if it removes much of the pairs
+still open. Then, in buckets whose members still lie in several components, all remaining pairs across
+components are screened. A group of thousands of near copies thus hardly meets pair by pair, and no candidate
+between different components is dropped, however large its bucket.
 
 The odd sketch of a class holds, bit by bit, the parity of how many of its MinHash samples fall on the bit.
 The population count of the XOR of two sketches estimates how many samples differ, which is precise at high
-similarities; a pair goes on if that estimate allows the wanted similarity with seven standard deviations
-to spare. The bands miss a pair at the very threshold with a probability of 3 in a million, more similar
-pairs far less.
+similarities; a pair goes on if its count lies within ``spare`` standard deviations of what the wanted
+similarity gives. The bands miss a pair at the very threshold with a probability of 3 in a million and the
+screen with one of about as much; more similar pairs are safer by far.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from math import exp, sqrt
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, words
@@ -38,20 +39,23 @@ class NearDup:
     percent: int = 80  # of the union that the intersection must reach
     bands: int = 42
     rows: int = 6  # samples a band
-    bits: int = 1024  # of an odd sketch
-    spare: float = 7.0  # standard deviations that the sketch screen leaves
-
-    @property
-    def samples(self) -> int:
-        return self.bands * self.rows
+    samples: int = 504  # of the odd sketch; the first bands * rows of them also make the bands
+    bits: int = 2048  # of an odd sketch
+    spare: float = 4.5  # standard deviations that the sketch screen leaves
+    leaders: int = 4  # of each bucket in a round
+    meets: int = 16  # leaders of its buckets that a member is compared with in a round
+    turns: int = 2  # rounds at most; what they leave open is compared across components
 
     @property
     def most_bits(self) -> int:
-        """Differing sketch bits up to which a pair may still have the wanted similarity."""
-        share = 1 - self.percent / 100
-        differ = min(self.samples * share + self.spare * sqrt(self.samples * share * (1 - share)), self.samples)
-        expected = self.bits / 2 * (1 - exp(-4 * differ / self.bits))
-        return int(expected + 3 * sqrt(self.bits) / 2)
+        """Differing sketch bits up to which a pair may have the wanted similarity: mean and standard deviation
+        of a binomial number of differing samples, each of which flips two random bits."""
+        n, share = self.bits, 1 - self.percent / 100
+        differ = self.samples * share
+        mean = n / 2 * (1 - (1 - 2 / n) ** (2 * differ))
+        parity = n / 4 + n * (n - 1) / 4 * (1 - 4 / n) ** (2 * differ) - n * n / 4 * (1 - 2 / n) ** (4 * differ)
+        slope = 2 * (1 - 2 / n) ** (2 * differ)
+        return int(mean + self.spare * sqrt(parity + slope**2 * differ * (1 - share))) + 1
 
 
 def _signer(cfg: NearDup):
@@ -67,7 +71,7 @@ def _signer(cfg: NearDup):
             best = np.minimum(best, (times[:, None] * low[None, at:at + _CHUNK] + plus[:, None]).min(axis=1))
         samples = mix(place | best)
         bands = np.zeros(cfg.bands, dtype=np.uint64)
-        for column in samples.reshape(cfg.bands, cfg.rows).T:
+        for column in samples[: cfg.bands * cfg.rows].reshape(cfg.bands, cfg.rows).T:
             bands = mix(bands + column)
         odd = np.bincount((samples % np.uint64(cfg.bits)).astype(np.int64), minlength=cfg.bits) & 1
         sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -143,17 +147,49 @@ def _linked(docs: DataFrame, classes: DataFrame, cfg: NearDup) -> DataFrame:
         .join(involved.select("key", "cid"), "key").select("cid", "shingles"))
     sketch = lambda c: classes.select(F.col("cid").alias(c), F.col("sketch").alias(f"o{c}"))
 
-    stars = members.filter("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-    stars = cut(stars.join(sketch("a"), "a").join(sketch("b"), "b").filter(_close(F.col("oa"), F.col("ob"), cfg)).select("a", "b"))
-    first = cut(_confirmed(stars, sets, cfg))
-    rooted = members.select("band", "cid").join(components(first).withColumnRenamed("node", "cid"), "cid", "left")
-    rooted = cut(rooted.select("band", "cid", F.coalesce("root", "cid").alias("root")))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    open_ = rooted.join(mixed, "band").join(sketch("cid"), "cid")
-    left, right = (open_.select("band", F.col("cid").alias(c), F.col("root").alias(f"r{c}"), F.col("ocid").alias(f"o{c}")) for c in "ab")
+    roots, tested, open_before, turn = None, None, None, 0
+    while True:
+        rooted = members if roots is None else members.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+        rooted = rooted.select("band", "cid", (F.col("cid") if roots is None else F.coalesce("root", "cid")).alias("root"))
+        by_root = rooted.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("roots")).filter("roots > 1")
+        rooted = cut(rooted.join(by_root.select("band", "n", "within"), "band"))
+        # what a comparison of all members across components would still take
+        row = rooted.agg(F.count("*").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("within")) / (2 * F.col("n"))).alias("pairs")).first()
+        if not row["rows"]:
+            return roots if roots is not None else rooted.select(F.col("cid").alias("node"), "root")
+        if turn == cfg.turns or row["pairs"] <= cfg.leaders * row["rows"] and turn or open_before is not None and row["pairs"] > 0.7 * open_before:
+            break
+        open_before, turn = row["pairs"], turn + 1
+        first = Window.partitionBy("band").orderBy(F.xxhash64("cid", F.lit(turn)))
+        lead = rooted.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= cfg.leaders)
+        lead = lead.select("band", F.col("cid").alias("leader"), F.col("root").alias("over"))
+        pairs = rooted.join(lead, "band").filter("root <> over")
+        # over all its buckets a member meets a bounded number of leaders, so a round is linear in the members
+        few = Window.partitionBy("cid").orderBy(F.xxhash64("leader", F.lit(turn)))
+        pairs = pairs.select("cid", "leader").distinct().withColumn("place", F.row_number().over(few)).filter(F.col("place") <= cfg.meets)
+        pairs = pairs.select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(_close(F.col("oa"), F.col("ob"), cfg)).select("a", "b")
+        pairs = cut(pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        roots = _merged(roots, cut(_confirmed(pairs, sets, cfg)))
+    rows = rooted.select("band", "cid", "root").join(sketch("cid"), "cid")
+    left, right = (rows.select("band", F.col("cid").alias(c), F.col("root").alias(f"r{c}"), F.col("ocid").alias(f"o{c}")) for c in "ab")
     across = left.join(right, "band").filter("a < b AND ra <> rb").filter(_close(F.col("oa"), F.col("ob"), cfg)).select("a", "b").distinct()
-    second = _confirmed(across.join(stars, ["a", "b"], "left_anti"), sets, cfg)
-    return components(first.unionByName(second))
+    return _merged(roots, _confirmed(across.join(tested, ["a", "b"], "left_anti"), sets, cfg))
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after ``links`` (a, b) join components."""
+    if roots is None:
+        return cut(components(links))
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    joins = links.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    joins = joins.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    over = components(joins).select(F.col("root").alias("over"), F.col("node").alias("root"))
+    return cut(roots.join(over, "root", "full").select(F.coalesce("node", "root").alias("node"), F.coalesce("over", "root").alias("root")))
 
 
 def classes_of(docs: DataFrame, cfg: NearDup) -> tuple[DataFrame, DataFrame]:
