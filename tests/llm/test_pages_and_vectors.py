@@ -92,6 +92,14 @@ def test_main_text(spark):
     assert pages.op6(make(spark, [])).count() == 0
 
 
+def test_lines_outside_an_article_are_differenced(spark):
+    def beside(i):
+        return page(f"<div>Our site</div><article><p>Story {i}</p><p>Passage of all</p></article><p>Correction {i}</p><footer>Own {i}</footer><p>Hours 9 to 5</p>")
+
+    got = {r["page_id"]: r["text"] for r in pages.op6(make(spark, [(i, f"http://a.com/n/{i}", beside(i)) for i in range(4)])).collect()}
+    assert got == {i: f"Story {i}\n\nPassage of all\n\nCorrection {i}" for i in range(4)}
+
+
 # ------------------------------------------------------------------ neighbours
 
 def test_neighbours(spark):

@@ -35,7 +35,7 @@ FURNITURE, OPEN, PROSE = 0, 1, 2
 
 class Line(NamedTuple):
     text: str
-    kind: int  # FURNITURE: never main text; OPEN: main text unless shared; PROSE: paragraph of a marked article
+    kind: int  # FURNITURE: never main text; OPEN: main text unless shared, also outside a marked article; PROSE: paragraph of one
 
 
 class _Element(NamedTuple):
@@ -121,10 +121,10 @@ def lines(page: str) -> list[Line]:
     level = max((main for _, drop, main, _, _ in found if not drop), default=0)
     out = []
     for text, drop, main, chars, name in found:
-        if drop or main < level or (level == 0 and 2 * chars > len(text)):
+        if drop or (level == 0 and 2 * chars > len(text)):
             out.append(Line(text, FURNITURE))
         else:
-            out.append(Line(text, PROSE if level and name in PROSE_TAGS else OPEN))
+            out.append(Line(text, PROSE if level and main == level and name in PROSE_TAGS else OPEN))
     return out
 
 
