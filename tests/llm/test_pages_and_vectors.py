@@ -100,6 +100,19 @@ def test_lines_outside_an_article_are_differenced(spark):
     assert got == {i: f"Story {i}\n\nPassage of all\n\nCorrection {i}" for i in range(4)}
 
 
+def test_template_longer_than_text_and_copies(spark):
+    template = "".join(f"<div>Template {k}</div>" for k in range(8))
+
+    def short(i):
+        return page(template + "".join(f"<p>Own {i} {k}</p>" for k in range(3)))
+
+    rows = [(i, f"http://a.com/n/{i}", short(i)) for i in range(3)]
+    rows += [(10 + i, f"http://b.com/n/1{i:02d}", short(9)) for i in range(20)] + [(40, "http://b.com/n/z", short(8))]  # a usable page behind copies
+    got = {r["page_id"]: r["text"] for r in pages.op6(make(spark, rows)).collect()}
+    want = {**{i: i for i in range(3)}, **{10 + i: 9 for i in range(20)}, 40: 8}
+    assert got == {i: "\n\n".join(f"Own {n} {k}" for k in range(3)) for i, n in want.items()}
+
+
 # ------------------------------------------------------------------ neighbours
 
 def test_neighbours(spark):

@@ -7,8 +7,10 @@ furniture goes as well, and paragraphs of a marked article stay even if shared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from os.path import commonprefix
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -16,15 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .markup import FURNITURE, PROSE, lines, shared
+from .markup import FURNITURE, OPEN, lines, shared
 from .urls import host_of, path_of
 
 
 @dataclass(frozen=True)
 class Differencing:
     group: int = 200  # pages of one directory that are sorted together; larger directories are split by hash
-    near: int = 3  # neighbours to either side that may serve
-    same: float = 0.7  # a neighbour that shares more of the open lines holds the same article and does not serve
+    own: float = 0.1  # a neighbour that leaves less of a page's lines, or one line only, is a copy; others are looked for
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -52,20 +53,60 @@ def _placed(pages: DataFrame, cfg: Differencing) -> DataFrame:
     return counts.join(parts, (F.col("host") == F.col("h")) & F.col("place").eqNullSafe(F.col("p"))).select("host", "folder", "place", "parts")
 
 
-def _texts(group: list[tuple[list[str], list[int], str]], cfg: Differencing) -> list[str]:
-    """Main texts of the pages of a group, given as (texts, kinds, path) in order of path."""
+class _Page(NamedTuple):
+    host: str
+    path: str
+    rank: int
+    lines: list
+    kinds: list[int]
+
+
+def _around(at: int, group: list[_Page]) -> Iterator[int]:
+    """Places of the other pages of the host, those of longest common path first, then the nearer ones. Pages are
+    in order of rank, so common paths get no longer on the way out to either side."""
+    page, low, high = group[at], at - 1, at + 1
+    while True:
+        left = group[low] if low >= 0 and group[low].host == page.host else None
+        right = group[high] if high < len(group) and group[high].host == page.host else None
+        if left is None and right is None:
+            return
+        near = lambda p: (-1, 0) if p is None else (len(commonprefix([page.path, p.path])), -abs(p.rank - page.rank))
+        if near(left) >= near(right):
+            yield low
+            low -= 1
+        else:
+            yield high
+            high += 1
+
+
+def _gone(at: int, group: list[_Page], cfg: Differencing) -> list[int]:
+    """Which of the page's lines but furniture go, counted from 0. The first neighbour that leaves enough own lines
+    serves, else the one that leaves most; one that leaves none never does."""
+    page = group[at]
+    if OPEN not in page.kinds:
+        return []
+    inside = [k for k, kind in enumerate(page.kinds) if kind != FURNITURE]
+    enough, most, best = max(2, cfg.own * len(inside)), 0, None
+    for j in _around(at, group):
+        there = set(group[j].lines)
+        own = sum(page.lines[k] not in there for k in inside)
+        if own > most:
+            most, best = own, j
+        if own >= enough:
+            break
+    if best is None:
+        return []
+    both = shared(page.lines, group[best].lines)
+    return [n for n, k in enumerate(inside) if k in both and page.kinds[k] == OPEN]
+
+
+def _texts(group: list[_Page], cfg: Differencing) -> list[str]:
+    """Main texts of the pages of a group, given in order of path."""
     out = []
-    for i, (texts, kinds, path) in enumerate(group):
-        around = [j for j in range(max(i - cfg.near, 0), min(i + cfg.near + 1, len(group))) if j != i]
-        around.sort(key=lambda j: (-len(commonprefix([path, group[j][2]])), abs(i - j), j))
-        gone: set[int] = set()
-        inside = [k for k, kind in enumerate(kinds) if kind != FURNITURE]
-        for j in around:
-            both = shared(texts, group[j][0])
-            if len([k for k in inside if k in both]) <= cfg.same * len(inside):
-                gone = both
-                break
-        out.append("\n\n".join(t for k, (t, kind) in enumerate(zip(texts, kinds)) if kind == PROSE or (kind != FURNITURE and k not in gone)))
+    for i, page in enumerate(group):
+        gone = set(_gone(i, group, cfg))
+        inside = [t for t, kind in zip(page.lines, page.kinds) if kind != FURNITURE]
+        out.append("\n\n".join(t for n, t in enumerate(inside) if n not in gone))
     return out
 
 
@@ -74,7 +115,7 @@ def extract(pages: DataFrame, cfg: Differencing = Differencing()) -> DataFrame:
     joined by an empty line, empty if none) and n_chars.
 
     Null or empty html gives an empty text; a null url has an empty host and path. Copies of a page never
-    serve each other as neighbours, nor do pages with largely the same open lines; a page without a neighbour
+    serve each other as neighbours, and near copies only where no other page does; a page without a neighbour
     loses what its markup names as furniture only. Repeated rows repeat. An empty table gives an empty result.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -85,7 +126,7 @@ def extract(pages: DataFrame, cfg: Differencing = Differencing()) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["path", "page_id"], kind="stable", na_position="last")
-        members = [(list(t), list(k), p) for t, k, p in zip(group["texts"], group["kinds"], group["path"])]
+        members = [_Page(h, p, n, list(t), list(k)) for n, (h, p, t, k) in enumerate(zip(group["host"], group["path"], group["texts"], group["kinds"]))]
         texts = _texts(members, cfg)
         return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
