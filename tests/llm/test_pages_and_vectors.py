@@ -113,6 +113,25 @@ def test_template_longer_than_text_and_copies(spark):
     assert got == {i: "\n\n".join(f"Own {n} {k}" for k in range(3)) for i, n in want.items()}
 
 
+def test_blocks_split_equal_paths_and_show_neighbours(spark):
+    cfg = pages.Differencing(group=10)
+
+    def templated(i):  # true neighbours alone share a line
+        return page(f"<p>Own {i} a</p><p>Own {i} b</p><div>Pair {i // 2}</div>")
+
+    rows = [(i, f"http://a.com/index.php?id={1000 + i}", templated(i)) for i in range(101)]
+    rows += [(200 + i, f"http://b.com/c/{i:03d}", templated(900)) for i in range(60)] + [(300, "http://b.com/d", templated(901))]
+    table = make(spark, rows)
+    got = {r["page_id"]: r["text"] for r in pages.extract(table, cfg).collect()}
+    for i in range(101):  # of two equally near pages the one before serves
+        assert got[i] == f"Own {i} a\n\nOwn {i} b" + (f"\n\nPair {i // 2}" if i and i % 2 == 0 else "")
+    assert all(got[200 + i] == "Own 900 a\n\nOwn 900 b" for i in range(60)) and len(got) == len(rows)
+    ranked = pages._ranked(pages.parsed(table))
+    assert sorted(r["rank"] for r in ranked.select("rank").collect()) == list(range(len(rows)))
+    shown = pages._blocks(ranked, len(rows), cfg).groupBy("block").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("own")).collect()
+    assert all(r["own"] <= 10 and r["n"] <= 40 for r in shown) and sum(r["own"] for r in shown) == len(rows)
+
+
 # ------------------------------------------------------------------ neighbours
 
 def test_neighbours(spark):

@@ -1,6 +1,6 @@
 """Main text of web pages by differencing with the page of nearest URL.
 
-Pages of a host are sorted by path; each is aligned with its nearest neighbour by the longest common
+Pages are ranked by host, path and url; each is aligned with its nearest neighbour of the host by the longest common
 subsequence of text lines, and shared lines go: they belong to the template. What the markup names as
 furniture goes as well, and paragraphs of a marked article stay even if shared.
 """
@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from os.path import commonprefix
 from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -24,33 +25,53 @@ from .urls import host_of, path_of
 
 @dataclass(frozen=True)
 class Differencing:
-    group: int = 200  # pages of one directory that are sorted together; larger directories are split by hash
+    group: int = 200  # ranks in a block
+    near: int = 4  # pages beyond either end of a block that it sees in a row; from there distances double
     own: float = 0.1  # a neighbour that leaves less of a page's lines, or one line only, is a copy; others are looked for
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url and the page's lines as texts and kinds."""
+    """page_id, url, the page's lines but furniture as ``texts``, and of all its lines ``marks`` (hashes), ``kinds`` and a ``digest``."""
 
     def run(batches):
         for batch in batches:
             found = [lines(h or "") for h in batch.column("html").to_pylist()]
+            marks = [[int.from_bytes(blake2b(x.text.encode(), digest_size=8).digest(), "big", signed=True) for x in f] for f in found]
+            kinds = [[x.kind for x in f] for f in found]
+            digest = [blake2b(repr((m, k)).encode(), digest_size=16).digest() for m, k in zip(marks, kinds)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array([[x.text for x in f] for f in found], pa.list_(pa.string())),
-                 pa.array([[x.kind for x in f] for f in found], pa.list_(pa.int32()))], names=["page_id", "url", "texts", "kinds"])
+                [batch.column("page_id"), batch.column("url"), pa.array([[x.text for x in f if x.kind != FURNITURE] for f in found], pa.list_(pa.string())),
+                 pa.array(marks, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32())), pa.array(digest, pa.binary())],
+                names=["page_id", "url", "texts", "marks", "kinds", "digest"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, texts array<string>, kinds array<int>")
-
-
-def _placed(pages: DataFrame, cfg: Differencing) -> DataFrame:
-    """url with the group in which it looks for neighbours: its directory, or for a directory of one page
-    those of its host; split by hash into parts of bounded size."""
-    urls = pages.select("url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    urls = urls.withColumn("folder", F.regexp_extract("path", "^(.*/)", 1))
-    counts = urls.groupBy("host", "folder").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("place", F.when(F.col("n") > 1, F.col("folder")).otherwise(F.lit(None)))
-    parts = counts.groupBy("host", "place").agg(F.ceil(F.sum("n") / cfg.group).alias("parts")).withColumnsRenamed({"host": "h", "place": "p"})
-    return counts.join(parts, (F.col("host") == F.col("h")) & F.col("place").eqNullSafe(F.col("p"))).select("host", "folder", "place", "parts")
+    read = pages.select("page_id", "url", "html").mapInArrow(
+        run, f"page_id {kind}, url string, texts array<string>, marks array<long>, kinds array<int>, digest binary")
+    return read.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with their ``rank`` (from 0) by host, path, url and page_id, and no task that sees more than its range."""
+    order = ["host", "path", "url", "page_id", "digest"]
+    sorted_ = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    sorted_ = sorted_.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = sorted_.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return sorted_.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def _blocks(ranked: DataFrame, total: int, cfg: Differencing) -> DataFrame:
+    """A row for each block that a page is in (``own``) or is shown to: blocks are runs of ``group`` ranks and see the
+    pages just before and behind them, and further ones at doubling distances."""
+    steps = list(range(1, cfg.near + 1))
+    while steps[-1] * 2 < total:
+        steps.append(steps[-1] * 2)
+    all_, last = f"array({', '.join(f'{d}L' for d in steps)})", (total - 1) // cfg.group
+    before = f"transform(filter({all_}, d -> (rank + d) % {cfg.group} = 0), d -> (rank + d) div {cfg.group})"
+    behind = f"transform(filter({all_}, d -> (rank - d + 1) % {cfg.group} = 0), d -> (rank - d + 1) div {cfg.group} - 1)"
+    found = F.expr(f"array_distinct(concat(array(rank div {cfg.group}), {before}, {behind}))")
+    rows = ranked.withColumn("block", F.explode(found)).filter(F.col("block").between(0, last))
+    return rows.withColumn("own", F.expr(f"block = rank div {cfg.group}"))
 
 
 class _Page(NamedTuple):
@@ -100,14 +121,22 @@ def _gone(at: int, group: list[_Page], cfg: Differencing) -> list[int]:
     return [n for n, k in enumerate(inside) if k in both and page.kinds[k] == OPEN]
 
 
-def _texts(group: list[_Page], cfg: Differencing) -> list[str]:
-    """Main texts of the pages of a group, given in order of path."""
-    out = []
-    for i, page in enumerate(group):
-        gone = set(_gone(i, group, cfg))
-        inside = [t for t, kind in zip(page.lines, page.kinds) if kind != FURNITURE]
-        out.append("\n\n".join(t for n, t in enumerate(inside) if n not in gone))
-    return out
+def shared_lines(pages: DataFrame, cfg: Differencing = Differencing()) -> DataFrame:
+    """(host, digest, gone): for pages as ``parsed`` gives them, which of the lines but furniture go, counted from 0.
+    Pages of a host with equal lines count as one, at the place of the first; nothing but hashes of lines is moved."""
+    first = F.min(F.struct("path", "url", "page_id", "marks", "kinds")).alias("p")
+    ranked = _ranked(cut(pages.groupBy("host", "digest").agg(first)).select("host", "digest", "p.*"))
+    total = ranked.count()
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("rank")
+        members = [_Page(h, p, r, m.tolist(), k.tolist()) for h, p, r, m, k in zip(*(block[c] for c in ("host", "path", "rank", "marks", "kinds")))]
+        gone = [_gone(i, members, cfg) if own else [] for i, own in enumerate(block["own"])]
+        out = pd.DataFrame({"host": block["host"], "digest": block["digest"], "gone": gone})
+        return out[[bool(g) for g in gone]]
+
+    columns = ["block", "rank", "own", "host", "path", "digest", "marks", "kinds"]
+    return _blocks(ranked, total, cfg).select(columns).groupBy("block").applyInPandas(run, "host string, digest binary, gone array<int>")
 
 
 def extract(pages: DataFrame, cfg: Differencing = Differencing()) -> DataFrame:
@@ -118,20 +147,12 @@ def extract(pages: DataFrame, cfg: Differencing = Differencing()) -> DataFrame:
     serve each other as neighbours, and near copies only where no other page does; a page without a neighbour
     loses what its markup names as furniture only. Repeated rows repeat. An empty table gives an empty result.
     """
-    kind = pages.schema["page_id"].dataType.simpleString()
-    placed = cut(_placed(pages, cfg))
-    rows = parsed(pages).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    rows = rows.withColumn("folder", F.regexp_extract("path", "^(.*/)", 1)).join(placed, ["host", "folder"])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["path", "page_id"], kind="stable", na_position="last")
-        members = [_Page(h, p, n, list(t), list(k)) for n, (h, p, t, k) in enumerate(zip(group["host"], group["path"], group["texts"], group["kinds"]))]
-        texts = _texts(members, cfg)
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    return rows.select("page_id", "url", "texts", "kinds", "path", "host", "place", "part").groupBy("host", "place", "part").applyInPandas(
-        run, f"page_id {kind}, url string, text string, n_chars long")
+    rows = parsed(pages)
+    gone = shared_lines(rows.drop("texts"), cfg)
+    rows = rows.select("page_id", "url", "texts", "host", "digest").join(gone, ["host", "digest"], "left")
+    left = F.filter("texts", lambda x, n: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), n))
+    rows = rows.select("page_id", "url", F.array_join(left, "\n\n").alias("text"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6(pages: DataFrame) -> DataFrame:
