@@ -254,6 +254,22 @@ def test_surrogates_stay_distinct(spark):
     assert not any((r["kind"], r["surrogate"]) in real for r in rows)
 
 
+def test_surrogates_of_used_up_formats(spark):
+    a_z = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{x}{y}@mail.com") for x in a_z for y in a_z] + [("email", f"{i:02d}@post.org") for i in range(60)]
+    rows += [("phone", f"+1{i:04d}") for i in range(7000)] + [("email", "_@x.org"), ("secret", "Ab-xyz9"), ("given_male", "john")]
+    found = spark.createDataFrame(rows, "kind string, canon string")
+    got = {(r["kind"], r["canon"]): r["surrogate"] for r in pii.assign(found, pii.Surrogates(rounds=2)).collect()}
+    assert set(got) == set(rows) and len({(k, s.lower()) for (k, _), s in got.items()}) == len(rows)
+    assert not any((k, s.lower()) in got for (k, _), s in got.items())
+    longer = [s for (k, _), s in got.items() if k == "phone" and len(s) == 7]
+    assert len(longer) == 7000 - 3000 and all(re.fullmatch(r"\+1\d{4,5}", s) for (k, _), s in got.items() if k == "phone")
+    assert all(re.fullmatch(r"[a-z]{2}@[a-z]{4}\.com", got["email", c]) for k, c in rows if c.endswith("mail.com"))
+    written = spark.createDataFrame([(f"+1 {i // 100:02d} {i % 100:02d}",) for i in range(7000)], "raw string")
+    new = [r["new"] for r in pii.replacements(written, pii.Surrogates(rounds=1)).collect()]
+    assert len(set(new)) == 7000 and all(re.fullmatch(r"\+1 \d\d \d\d\d?", x) for x in new)
+
+
 # ------------------------------------------------------------------ shards
 
 def test_shards(docs, awkward):

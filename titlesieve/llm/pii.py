@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, seeded_rank
 
 #: Titles that announce a name (fixed values).
 MALE_TITLES = ("Mr", "Mister", "Herr", "Señor", "Monsieur")
@@ -56,7 +56,7 @@ _ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "аб
 @dataclass(frozen=True)
 class Surrogates:
     key: str = "replace this key"  # keep it secret; the same key gives the same surrogates
-    rounds: int = 50  # draws after which an entity without a free surrogate is an error
+    rounds: int = 10  # draws after which entities of small formats get unused codes by rank
 
 
 def _quote(s: str) -> str:
@@ -166,13 +166,78 @@ def _meets(rows: DataFrame, others: DataFrame, column: str, how: str) -> DataFra
     return rows.join(seen, (F.col("kind") == F.col("k")) & (F.lower("surrogate") == F.col("v")), how)
 
 
+_DIGITS = "0123456789"
+_LARGE = 1e15  # a format of more codes cannot be used up; its entities are drawn again
+
+
+def _letters(x: str, keep: str = "0") -> str:
+    """SQL: for each character of ``x`` those that ``_masked`` may put there."""
+    cases = f"WHEN i <= {keep} THEN substr({x}, i, 1) WHEN substr({x}, i, 1) RLIKE '[0-9]' THEN '{_DIGITS}'"
+    for letters in _ALPHABETS:
+        cases += f" WHEN instr('{letters}', substr({x}, i, 1)) > 0 THEN '{letters}'"
+    cases += f" WHEN substr({x}, i, 1) RLIKE '\\\\p{{L}}' THEN '{_ALPHABETS[0]}'"
+    return f"transform(sequence(1, length({x})), i -> CASE {cases} ELSE substr({x}, i, 1) END)"
+
+
+def _formats(pending: DataFrame, cfg: Surrogates) -> DataFrame:
+    """``pending`` with ``letters`` (choices a place), ``tail`` (what follows, the domain of an e-mail address), ``space`` (number
+    of codes) and ``format`` (a digest, case-blind). Letters are null for kinds with check digits, addresses and names."""
+    hexes = f"transform(sequence(1, length(canon)), i -> '{_DIGITS}abcdef')"
+    letters = f"""CASE WHEN kind = 'email' THEN {_letters("substring_index(canon, '@', 1)")} WHEN kind = 'ssn' THEN {_letters('canon')}
+        WHEN kind = 'phone' THEN {_letters('canon', "(CASE WHEN substr(canon, 1, 1) = '+' THEN 2 ELSE 0 END)")}
+        WHEN kind = 'secret' AND canon RLIKE '^[0-9a-f]+$' THEN {hexes} WHEN kind = 'secret' THEN {_letters('canon')} END"""
+    rows = _draw(pending, cfg).withColumn("tail", F.expr("CASE WHEN kind = 'email' THEN lower(concat('@', substring_index(surrogate, '@', -1))) ELSE '' END"))
+    rows = rows.withColumn("letters", F.expr(f"concat({letters}, array_repeat('{_DIGITS}', extra))"))
+    rows = rows.withColumn("space", F.expr("aggregate(letters, 1D, (s, x) -> s * length(x))"))
+    return rows.withColumn("format", F.md5(F.concat_ws("|", "kind", "tail", F.lower(F.to_json("letters")))))
+
+
+def _ranked(pending: DataFrame, taken: DataFrame, cfg: Surrogates) -> DataFrame:
+    """``pending`` with surrogates that are in no row of ``taken`` (kind, v in lower case). Entities and free codes of a format
+    are both ranked by keyed hash and joined by rank; an entity beyond the last free code gets a null. So many codes of a
+    format are listed as it has entities and taken values of its length at most, so enough of them are free if there are enough."""
+    rows = cut(_formats(pending, cfg))
+    small = rows.filter(F.col("space") <= _LARGE)
+    tail = F.expr("CASE WHEN kind = 'email' THEN concat('@', substring_index(v, '@', -1)) ELSE '' END")
+    known = taken.groupBy("kind", tail.alias("tail"), F.length("v").alias("size")).agg(F.count("*").alias("m"))
+    groups = small.groupBy("format", "kind", "tail").agg(F.first(F.expr("transform(letters, x -> lower(x))")).alias("choices"), F.first("space").cast("long").alias("space"), F.count("*").alias("n"))
+    groups = groups.withColumn("size", F.expr("size(choices) + length(tail)")).join(known, ["kind", "tail", "size"], "left")
+    groups = groups.withColumn("k", F.least("space", F.expr("n + coalesce(m, 0)")))
+    start = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(cfg.key), "format"), 256), 1, 12), 16, 10).cast("long") % F.col("space")
+    codes = groups.withColumn("start", start).withColumn("c", F.expr("explode(sequence(0L, (k - 1) div 10000))"))
+    codes = codes.withColumn("j", F.expr("explode(sequence(c * 10000, least(k, (c + 1) * 10000) - 1))")).withColumn("j", F.expr("(start + j) % space"))
+    code = F.expr("""aggregate(reverse(choices), struct(j AS j, '' AS out), (s, x) -> struct(s.j div length(x) AS j,
+        concat(substr(x, cast(s.j % length(x) AS int) + 1, 1), s.out) AS out), s -> s.out)""")
+    codes = codes.select("kind", "format", code.alias("code"), F.concat(code, "tail").alias("v"))
+    free = codes.join(taken.select("kind", "v"), ["kind", "v"], "left_anti").select("format", "code")
+    keyed = lambda c: F.sha2(F.concat_ws("|", F.lit(cfg.key), c), 256)
+    free = cut(seeded_rank(free, ["format"], [keyed("code"), F.col("code")], "turn"))
+    asked = seeded_rank(small, ["format"], [keyed("canon"), F.col("canon")], "turn").drop("surrogate")
+    filled = F.expr(f"""concat(array_join(transform(letters, (x, i) -> CASE WHEN length(x) = 1 THEN x WHEN x = '{_ALPHABETS[1]}'
+        THEN upper(substr(code, i + 1, 1)) ELSE substr(code, i + 1, 1) END), ''), tail)""")
+    dealt = asked.join(free, ["format", "turn"], "left").withColumn("surrogate", F.when(F.col("code").isNotNull(), filled))
+    columns = [*pending.columns, "surrogate"]
+    return dealt.select(columns).unionByName(rows.filter(F.col("space").isNull() | (F.col("space") > _LARGE)).select(columns))
+
+
 def assign(found: DataFrame, cfg: Surrogates = Surrogates()) -> DataFrame:
     """(kind, canon, surrogate) for the distinct (kind, canon) of ``found``: no two of a kind share a
-    surrogate and none is a real entity of ``found``."""
+    surrogate and none is a real entity of ``found``. Where a format has fewer codes than that takes, the
+    surrogates of some entities are a digit longer."""
     real = cut(found.select("kind", "canon").distinct())
-    pending, done = real.withColumn("attempt", F.lit(0)), None
-    for _ in range(cfg.rounds):
-        drawn = _draw(pending, cfg)
+    pending, done, turns = real.withColumns({"attempt": F.lit(0), "extra": F.lit(0)}), None, 0
+    while True:
+        if turns < cfg.rounds:
+            drawn = _draw(pending, cfg)
+        else:
+            taken = real.select("kind", F.lower("canon").alias("v"))
+            if done is not None:
+                taken = taken.unionByName(done.select("kind", F.lower("surrogate").alias("v")))
+            drawn = cut(_ranked(pending, cut(taken.distinct()), cfg))
+            short = drawn.filter("surrogate IS NULL").select("kind", "canon", F.lit(1).alias("short"))
+            pending = cut(pending.join(short, ["kind", "canon"], "left").withColumn("extra", F.col("extra") + F.coalesce("short", F.lit(0))).drop("short"))
+            drawn = drawn.filter("surrogate IS NOT NULL")
+        turns += 1
         order = Window.partitionBy("kind", F.lower("surrogate")).orderBy("canon")
         drawn = drawn.withColumn("turn", F.row_number().over(order))
         free = _meets(drawn.filter("turn = 1"), real, "canon", "left_anti")
@@ -184,7 +249,6 @@ def assign(found: DataFrame, cfg: Surrogates = Surrogates()) -> DataFrame:
         if rest.isEmpty():
             return done
         pending = rest
-    raise ValueError(f"no free surrogate after {cfg.rounds} draws")
 
 
 def replacements(raw: DataFrame, cfg: Surrogates = Surrogates()) -> DataFrame:
@@ -195,7 +259,7 @@ def replacements(raw: DataFrame, cfg: Surrogates = Surrogates()) -> DataFrame:
     joined = parts.join(assign(parts, cfg), ["kind", "canon"])
     filled = F.expr(r"""aggregate(sequence(1, length(written)), struct('' AS out, 1 AS n), (s, i) ->
         CASE WHEN substr(written, i, 1) RLIKE '[^ ().-]' THEN struct(concat(s.out, substr(surrogate, s.n, 1)) AS out, s.n + 1 AS n)
-        ELSE struct(concat(s.out, substr(written, i, 1)) AS out, s.n AS n) END, s -> s.out)""")
+        ELSE struct(concat(s.out, substr(written, i, 1)) AS out, s.n AS n) END, s -> concat(s.out, substr(surrogate, s.n)))""")
     shape = F.when(F.col("kind").isin("card", "iban", "ssn", "phone"), filled).when(
         (F.col("kind") == "email") & (F.col("written") == F.upper("written")), F.upper("surrogate")).otherwise(F.col("surrogate"))
     new = joined.select("raw", "head", F.struct("at", shape.alias("text")).alias("p")).groupBy("raw", "head").agg(F.array_sort(F.collect_list("p")).alias("ps"))
