@@ -53,6 +53,19 @@ def test_trust_flows_along_links_and_distrust_against_them(spark):
         assert all(abs(r[name] - score[at[r["host"]]]) < 1e-12 for r in out)
 
 
+def test_targets_without_a_row_are_seeds(spark):
+    def links(*urls_):
+        return "".join(f'<a href="{u}">x</a>' for u in urls_)
+
+    rows = [(1, "http://farm.com/", links("http://spam.net/a?b#c", "//SPAM.net/a?b")), (2, "http://home.com/", links("http://spam.net")),
+            (3, "http://path.com/", links("http://shop.example.com/de/1")), (4, "http://other.com/", links("http://shop2.example.com/en/1")),
+            (5, "http://crawled.net/x", links("http://friend.com/")), (6, "http://friend.com/", links("http://x.org/fr/1")), (7, "http://near.com/", links("http://crawled.net/x"))]
+    table = make(spark, rows)
+    assert [r["verdict"] for r in urls.judge(table).orderBy("page_id").collect()] == ["block"] * 3 + ["allow", "block", "allow", "block"]
+    got = {r["host"]: (r["allowed"], r["blocked"]) for r in urls.target_seeds(table).collect()}
+    assert got == {"spam.net": (0, 2), "shop.example.com": (0, 1), "x.org": (1, 0)}
+
+
 # ------------------------------------------------------------------ main text
 
 def test_common_lines():

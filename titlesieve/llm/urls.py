@@ -16,6 +16,7 @@ from .common import cut
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
+_TARGET = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?(//[^/?#"'\s>]+[^#"'\s>]*)"""
 
 
 @dataclass(frozen=True)
@@ -81,8 +82,27 @@ def host_links(pages: DataFrame) -> DataFrame:
     return found.groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
+def _address(url: Column) -> Column:
+    """A url without scheme and fragment; no path is the path ``/``."""
+    rest = F.regexp_extract(url, r"://[^/?#]*([^#]*)", 1)
+    return F.concat(host_of(url), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+
+
+def target_seeds(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
+    """(host, allowed, blocked): link targets on other hosts that rules allow or block and that are no row of
+    ``pages``, each counted once."""
+    found = pages.select(host_of(F.col("url")).alias("source"), F.explode(F.regexp_extract_all("html", F.lit(_TARGET), 1)).alias("url"))
+    found = found.filter("source <> ''").withColumn("url", F.concat(F.lit(":"), "url"))
+    found = found.filter(F.col("source") != host_of(F.col("url"))).select(_address(F.col("url")).alias("address"))
+    ruled = with_rule(found.select("address", F.concat(F.lit("://"), "address").alias("url")), rules).filter("ruled IS NOT NULL")
+    crawled = pages.select(_address(F.col("url")).alias("address"))
+    new = ruled.select("address", "host", "ruled").distinct().join(crawled, "address", "left_anti")
+    counted = lambda v: F.count(F.when(F.col("ruled") == v, 1)).alias(v)
+    return new.groupBy("host").agg(counted("allow").alias("allowed"), counted("block").alias("blocked"))
+
+
 def propagate(seeds: DataFrame, links: DataFrame, cfg: LinkTrust) -> DataFrame:
-    """(host, trust, distrust). ``seeds`` has host, allowed and blocked (pages that rules allow or block);
+    """(host, trust, distrust). ``seeds`` has host, allowed and blocked (pages and link targets that rules allow or block);
     ``links`` as above. Each flow starts with a total of 1 on its seeds; hosts without links pass nothing on."""
     flows = []
     for kind, start, end in (("trust", "source", "target"), ("distrust", "target", "source")):
@@ -120,7 +140,9 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, cfg: LinkTrust =
     """
     ruled = with_rule(pages.select("page_id", "url"), rules)
     counted = lambda v: F.count(F.when(F.col("ruled") == v, 1))
-    seeds = cut(ruled.filter("host <> ''").groupBy("host").agg(counted("allow").alias("allowed"), counted("block").alias("blocked")))
+    seeds = ruled.filter("host <> ''").groupBy("host").agg(counted("allow").alias("allowed"), counted("block").alias("blocked"))
+    seeds = seeds.unionByName(target_seeds(pages.select("url", "html"), rules))
+    seeds = cut(seeds.groupBy("host").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")))
     hosts = cut(propagate(seeds, cut(host_links(pages.select("url", "html"))), cfg))
     joined = ruled.join(hosts, "host", "left")
     method = F.when(F.col("distrust") > cfg.tolerance * F.col("trust"), "block").otherwise("allow")
