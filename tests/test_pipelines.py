@@ -60,6 +60,20 @@ def test_validation_ends_early(spark, folder):
     assert few["columns_valid"] and not few["is_valid"] and "less than required minimum (6000)" in few["errors"][0]
 
 
+def test_ingestion_keeps_the_counts_of_every_domain(spark, folder):
+    store, few = TitleStore(spark, f"{folder}/store"), ScreeningConfig(min_valid_titles=5, max_map_entries=2)
+    raw = read_sheet(spark, sheet_file(folder, ROWS))
+    for _ in range(2):
+        ingest.run_ingestion(store, raw, "sheet.csv", cfg=few)
+    audits = ingest.latest_audits(store.read("ingestions")).orderBy("id").collect()
+    want = {(r["domain"], r["rows"]) for r in ingest.domain_counts(raw).collect()}
+    assert len(want) > 2
+    for audit in audits:
+        assert audit["domain_counts_json"] is None
+        kept = store.read(audit["domain_counts_table"]).filter(F.col("ingestion_id") == audit["id"]).collect()
+        assert {(r["domain"], r["rows"]) for r in kept} == want and len(kept) == len(want)
+
+
 def test_ingestion_index_clusters_and_screening(spark, folder):
     store = TitleStore(spark, f"{folder}/store")
     raw = read_sheet(spark, sheet_file(folder, ROWS))
