@@ -626,7 +626,6 @@ def encoded_titles(spark, sf):
 
 @register(None)
 def fitted_clusters(spark, sf):
-    """K-means over the corpus vectors; one restart keeps the check short."""
-    cfg = ScreeningConfig(kmeans_restarts=1, kmeans_iterations=20)
-    assigned, _ = clusters.fit_clusters(views.vectors(spark, sf), cfg)
+    """K-means over the corpus vectors with the restarts and iterations of production."""
+    assigned, _ = clusters.fit_clusters(views.vectors(spark, sf), ScreeningConfig())
     return clusters.cluster_sizes(assigned)

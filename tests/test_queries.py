@@ -49,3 +49,15 @@ def test_no_pair_explosion_in_plans(spark):
     plan = ranked_candidates(prepared, library, cfg)[0]._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_registered_clusters_use_the_default_settings(monkeypatch):
+    from checks import entries
+    from titlesieve.config import ScreeningConfig
+
+    seen = []
+    monkeypatch.setattr(entries.views, "vectors", lambda spark, sf: None)
+    monkeypatch.setattr(entries.clusters, "fit_clusters", lambda rows, cfg: (seen.append(cfg), None))
+    monkeypatch.setattr(entries.clusters, "cluster_sizes", lambda assigned: assigned)
+    entries.fitted_clusters(None, "")
+    assert seen == [ScreeningConfig()]
