@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .caps import Caps
+from .codes import Codes
 from .quality import RULES, QualityModel
 from .urls import RULES as RULES_URL
 from .urls import LinkTrust
@@ -73,3 +75,41 @@ s0 AS MATERIALIZED (SELECT kind, host, coalesce(seed, 0) AS seed, coalesce(seed,
 h AS (SELECT host, sum(score) FILTER (kind = 'trust') AS trust, sum(score) FILTER (kind = 'distrust') AS distrust FROM s{cfg.rounds} GROUP BY 1)
 SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) > {cfg.tolerance} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM r LEFT JOIN h ON r.host = h.host"""
+
+
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+
+
+def codes() -> str:
+    cfg = Codes()
+    nearest = lambda i: f"""a{i} AS MATERIALIZED (SELECT r, p.part, min(list_sum(list_transform(list_zip(p.y, e.y),
+        lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * {cfg.entries} + e.k) AS best FROM p JOIN e{i} e ON p.part = e.part GROUP BY ALL)"""
+    moved = "".join(f""", {nearest(i)},
+s{i} AS (SELECT part, k, list(m ORDER BY j) AS y FROM (SELECT a.part, a.best % {cfg.entries} AS k, j, floor(sum(p.y[j]) / count(*))::BIGINT AS m
+    FROM a{i} a JOIN p ON a.r = p.r AND a.part = p.part, unnest(range(1, len(p.y) + 1)) t(j) GROUP BY ALL) GROUP BY ALL),
+e{i + 1} AS MATERIALIZED (SELECT e.part, e.k, coalesce(s.y, e.y) AS y FROM e{i} e LEFT JOIN s{i} s ON e.part = s.part AND e.k = s.k)""" for i in range(cfg.rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+    list_transform(embedding, lambda c: floor({cfg.scale} * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE {_FINITE}),
+p AS MATERIALIZED (SELECT r, part, list_slice(x, len(x) * part // {cfg.parts} + 1, len(x) * (part + 1) // {cfg.parts}) AS y
+    FROM v, range({cfg.parts}) t(part)),
+e0 AS MATERIALIZED (SELECT part, r - 1 AS k, y FROM p WHERE r <= {cfg.entries}){moved}, {nearest(cfg.rounds)},
+coded AS (SELECT r, string_agg(printf('%02x', best % {cfg.entries}), '' ORDER BY part) AS code, sum(best // {cfg.entries})::BIGINT AS error
+    FROM a{cfg.rounds} GROUP BY r),
+d AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM e{cfg.rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (r), d"""
+
+
+def caps() -> str:
+    cfg = Caps()
+    return f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings
+    WHERE {_FINITE} AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x)
+    / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= {cfg.cosine}),
+reach(a, b) AS (SELECT r, r FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN v ON reach.b = v.r GROUP BY 1),
+n AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY 1),
+linked AS (SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+    UNION ALL SELECT vec_id, 0, vec_id FROM embeddings WHERE NOT coalesce({_FINITE} AND len(list_filter(embedding, lambda c: c <> 0)) > 0, false))
+SELECT vec_id, n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM linked"""

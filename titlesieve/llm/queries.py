@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, mixing, neardup, oracles, pages, pii, quality, sharding, urls
+from . import ann, bpe, caps, codes, langid, mixing, neardup, oracles, pages, pii, quality, sharding, urls, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,18 @@ def op6_page_differencing(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op8_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return pii.op8(table(spark, folder, "documents"))
+
+
+@register(oracles.codes())
+def op11_gnat_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.op11(table(spark, folder, "embeddings"))
+
+
+@register(oracles.caps())
+def op12_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return caps.op12(table(spark, folder, "embeddings"))
+
+
+@register()
+def op13_chebyshev_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.op13(table(spark, folder, "embeddings"))
