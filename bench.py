@@ -14,7 +14,7 @@ sys.path.insert(0, str(ROOT))
 from checks import views  # noqa: E402
 from checks.entries import ENTRIES  # noqa: E402
 from titlesieve.config import ScreeningConfig  # noqa: E402
-from titlesieve.plans.screen import screen  # noqa: E402
+from titlesieve.plans.screen import load_library, screen  # noqa: E402
 from titlesieve.session import build_session  # noqa: E402
 
 HEADLINE = ("exact_heads", "nearest_neighbours", "fuzzy_matches", "candidates", "lexical_scores", "dataset_report",
@@ -50,6 +50,11 @@ def main() -> None:
     asked = views.proposals(spark, folder)
     library = views.library(spark, folder)
     timed("screen", lambda: drain(screen(asked, library, ScreeningConfig())))
+    # a stored library with derived tables, and batches of few proposals against it
+    small_store = views.store_of(spark, folder)
+    for n in (1, 100):
+        few = asked.orderBy("proposal_id").limit(n)
+        timed(f"screen_{n}", lambda: drain(screen(few, load_library(small_store), ScreeningConfig())))
     for name in HEADLINE:
         timed(name, lambda: drain(ENTRIES[name].run(spark, folder)))
     proposals = asked.count()

@@ -474,6 +474,32 @@ def verdicts(spark, sf):
     )
 
 
+@register(sql.query(f"SELECT {_VERDICT_COLUMNS} FROM verdicts", *ALL))
+def verdicts_incremental(spark, sf):
+    """The same verdicts from a store whose derived tables grew with an append."""
+    done = screen.screen(views.proposals(spark, sf), screen.load_library(views.store_of(spark, sf)), PLAIN)
+    return done.select(
+        "proposal_id", "verification_id", "decision", "risk", "final_score", "score_breakdown.semantic_score",
+        "score_breakdown.lexical_score", F.array_join("reasons", "|").alias("reasons"), "explanation", "candidate_count")
+
+
+@register(sql.query(f"""
+SELECT {_VERDICT_COLUMNS}, '' AS violations FROM verdicts v JOIN asked a USING (proposal_id)
+WHERE length(a.title) BETWEEN 1 AND 500 AND coalesce(length(a.description), 0) <= 2000
+UNION ALL BY NAME SELECT proposal_id, concat_ws('|', CASE WHEN title = '' THEN 'title too short' END,
+  CASE WHEN length(title) > 500 THEN 'title too long' END, CASE WHEN length(description) > 2000 THEN 'description too long' END) AS violations
+FROM asked WHERE NOT (length(title) BETWEEN 1 AND 500 AND coalesce(length(description), 0) <= 2000)""".replace(
+    "SELECT proposal_id, verification_id", "SELECT v.proposal_id, verification_id").replace("explanation, candidate_count,", "v.explanation, candidate_count,"), *ALL))
+def verified_requests(spark, sf):
+    """Requests through the limits: verdicts of the acceptable ones, violations of the others."""
+    done, bad = screen.verify(views.proposals(spark, sf), views.library(spark, sf), PLAIN)
+    listed = done.select(
+        "proposal_id", "verification_id", "decision", "risk", "final_score", "score_breakdown.semantic_score",
+        "score_breakdown.lexical_score", F.array_join("reasons", "|").alias("reasons"), "explanation", "candidate_count",
+        F.lit("").alias("violations"))
+    return listed.unionByName(bad.select("proposal_id", F.array_join("violations", "|").alias("violations")), allowMissingColumns=True)
+
+
 @register(sql.query("""
 SELECT r.proposal_id, r.rank, r.id, r.title, r.domain, r.language, r.description, r.semantic_score, r.lexical_score,
        r.final_score FROM ranked r WHERE r.rank <= 5""", *ALL[:4]))

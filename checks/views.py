@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titlesieve.functions.phonetic import phonetic_code
 from titlesieve.functions.text import normalize_domain, normalize_title
 from titlesieve.functions.vectors import unit
+from titlesieve.plans.derived import append_records, build_derived
+from titlesieve.plans.index import index_meta
 from titlesieve.plans.screen import Library
-from titlesieve.session import cut_lineage, ship_package
+from titlesieve.session import cut_lineage, ensure_checkpoint_dir, ship_package
+from titlesieve.sources.store import TitleStore
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -129,6 +134,19 @@ def library(spark: SparkSession, sf: str) -> Library:
     return _libraries[key]
 
 
+def store_of(spark: SparkSession, sf: str) -> TitleStore:
+    """The library in a store, its corpus come in two appends."""
+    store, built = TitleStore(spark, f"{ensure_checkpoint_dir(spark)}/library-{uuid.uuid4().hex}"), library(spark, sf)
+    store.replace("vectors", built.vectors)
+    vectors = store.read("vectors")
+    store.replace("index_meta", index_meta(vectors, "fixture", vectors.select(F.size("embedding")).first()[0], {"model": "fixture"}))
+    store.replace("centroids", built.centroids)
+    store.replace("corpus", built.corpus.filter("id % 3 <> 0"))
+    build_derived(store)
+    append_records(store, built.corpus.filter("id % 3 = 0"))
+    return store
+
+
 def sheet(spark: SparkSession, sf: str) -> DataFrame:
     """A raw title table with blanks, "nan" cells and repeats, in ``doc_id`` order."""
     ship_package(spark)

@@ -7,7 +7,9 @@ from titlesieve.plans.screen import screen
 from titlesieve.plans.submit import submit
 
 # small caps and blocks, so that quotas, several blocks and several cells all occur
-TIGHT = ScreeningConfig(top_k=4, corpus_block_rows=20, proposal_block_rows=7, title_block_rows=16)
+TIGHT = ScreeningConfig(top_k=4, corpus_block_rows=20, proposal_block_rows=7, title_block_rows=16, small_batch_rows=0)
+# the same caps for a batch that is sent to the scans
+SCANNED = ScreeningConfig(top_k=4, title_block_rows=16)
 
 
 def spark_verdicts(spark, data, cfg):
@@ -24,7 +26,7 @@ def as_plain(r):
     }
 
 
-@pytest.mark.parametrize("seed,cfg", [(1, ScreeningConfig()), (2, TIGHT), (3, TIGHT)])
+@pytest.mark.parametrize("seed,cfg", [(1, ScreeningConfig()), (2, TIGHT), (3, TIGHT), (3, SCANNED)])
 def test_verdicts_equal_one_at_a_time_screening(spark, seed, cfg):
     data = make(seed)
     got = spark_verdicts(spark, data, cfg)

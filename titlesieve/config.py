@@ -41,6 +41,13 @@ class ScreeningConfig:
     corpus_block_rows: int = 65_536
     proposal_block_rows: int = 32_768
     title_block_rows: int = 16_384
+    # a batch of at most so many proposals goes to the corpus; the corpus then is scanned, not shuffled
+    small_batch_rows: int = 1_024
+    # tables derived from the corpus: folders of the table by normal form
+    head_buckets: int = 64
+    # Bloom filters that thin the corpus before it meets a larger batch
+    bloom_bits_per_key: int = 16
+    bloom_most_bits: int = 1 << 26
     # driver-held model rows (centroids) and cells derived from them
     max_model_rows: int = 4_096
 

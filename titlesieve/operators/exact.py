@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import USABLE_STATUSES
+from ..config import USABLE_STATUSES, ScreeningConfig
+from . import bloom
 
 
 def usable(corpus: DataFrame) -> DataFrame:
@@ -45,3 +46,29 @@ def exact_heads(proposals: DataFrame, corpus: DataFrame, rows: int) -> DataFrame
         .join(title_heads(corpus, rows), "normalized_title")
         .drop("normalized_title")
     )
+
+
+# ---------------------------------------------------------------- from stored partial rows
+
+def head_bucket(normal: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(normal), F.lit(buckets)).cast("int")
+
+
+def partial_heads(corpus: DataFrame, rows: int, buckets: int) -> DataFrame:
+    """What :func:`title_heads` says of some of the corpus, with the bucket of the normal form."""
+    return title_heads(corpus, rows).withColumn("bucket", head_bucket(F.col("normalized_title"), buckets))
+
+
+def stored_heads(proposals: DataFrame, heads: DataFrame, rows: int, cfg: ScreeningConfig) -> DataFrame:
+    """:func:`exact_heads` from partial rows. Of the stored table only the buckets of the asked forms are opened,
+    and only rows that pass a Bloom filter of these forms are shuffled, merged and joined."""
+    asked = proposals.select("proposal_id", "normalized_title")
+    bucket = head_bucket(F.col("normalized_title"), cfg.head_buckets)
+    told = asked.agg(F.count_distinct("normalized_title").alias("n"), F.collect_set(bucket).alias("buckets")).first()
+    kept = heads.filter(F.col("bucket").isin(told["buckets"]))  # at most ``head_buckets`` numbers
+    sieve = bloom.build(asked, "normalized_title", told["n"], cfg.bloom_bits_per_key, cfg.bloom_most_bits)
+    if sieve is not None:
+        kept = kept.filter(sieve.may_hold(F.col("normalized_title")))
+    ids = F.slice(F.array_sort(F.flatten(F.collect_list("exact_ids"))), 1, rows)
+    merged = kept.groupBy("normalized_title").agg(F.sum("exact_total").alias("exact_total"), ids.alias("exact_ids"))
+    return asked.join(merged, "normalized_title").drop("normalized_title")

@@ -68,6 +68,32 @@ def nearest_neighbours(
     return top_hits(hits, k)
 
 
+def nearest_by_scan(proposals: DataFrame, vectors: DataFrame, k: int, cfg: ScreeningConfig) -> DataFrame:
+    """The same for a batch of at most ``small_batch_rows`` proposals: their vectors go to the tasks that scan the
+    index, which is not shuffled; each task sends its k best only."""
+    asked = proposals.select("proposal_id", "embedding").limit(cfg.small_batch_rows + 1).collect()
+    if len(asked) > cfg.small_batch_rows:
+        raise ValueError(f"more than {cfg.small_batch_rows} proposals")
+    owners = np.array([r["proposal_id"] for r in asked], dtype=np.int64)
+    queries = np.array([r["embedding"] for r in asked], dtype=np.float32).reshape(len(asked), -1)
+
+    def run(batches):
+        held = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)]
+        for batch in batches:
+            found = best_by_inner_product(queries, matrix(batch.column("embedding")), batch.column("id").to_numpy(), k)
+            rows, ids, sims = (np.concatenate(p) for p in zip(held, found))
+            order = np.lexsort((ids, -sims, rows))
+            rows = rows[order]
+            starts = np.searchsorted(rows, rows)
+            keep = np.arange(len(rows)) - starts < k
+            held = [rows[keep], ids[order][keep], sims[order][keep]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(owners[held[0]], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.float64())],
+            names=["proposal_id", "id", "similarity"])
+
+    return top_hits(vectors.select("id", "embedding").mapInArrow(run, _HITS), k)
+
+
 def _product(queries: DataFrame, index: DataFrame, k: int, cfg: ScreeningConfig) -> DataFrame:
     return block_product(
         queries, index, "cell", "proposal_id", "id",

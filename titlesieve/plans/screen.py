@@ -15,16 +15,24 @@ from ..operators import candidates as cand
 from ..operators import clusters, decisions, exact, fuzzy, knn
 from ..session import cut_lineage, ship_package
 from ..sources.store import TitleStore
+from .derived import read_derived
+from .requests import split_requests, with_violations
 
 
 @dataclass(frozen=True)
 class Library:
     """What proposals are screened against. ``corpus`` is the record table, ``vectors`` the index
-    (id, unit embedding), ``centroids`` the cluster model; without the last, nothing is clustered."""
+    (id, unit embedding), ``centroids`` the cluster model; without the last, nothing is clustered.
+    ``heads``, ``titles`` and ``largest_id`` come from the derived tables, if there are any (see
+    ``plans.derived``); without them the corpus is aggregated for every batch."""
 
     corpus: DataFrame
     vectors: DataFrame
     centroids: DataFrame | None = None
+    heads: DataFrame | None = None
+    titles: DataFrame | None = None
+    largest_id: int | None = None
+    dimension: int | None = None
 
 
 class IndexNotReady(RuntimeError):
@@ -39,7 +47,8 @@ def load_library(store: TitleStore) -> Library:
     if meta is None or meta["record_count"] != vectors.count():
         raise IndexNotReady("the vector index does not match its metadata")
     centroids = store.read("centroids") if store.exists("centroids") else None
-    return Library(store.read("corpus"), vectors, centroids)
+    heads, titles, largest = read_derived(store) or (None, None, None)
+    return Library(store.read("corpus"), vectors, centroids, heads, titles, largest, meta["dimension"])
 
 
 def prepare_proposals(proposals: DataFrame, library: Library, cfg: ScreeningConfig) -> DataFrame:
@@ -60,19 +69,40 @@ def prepare_proposals(proposals: DataFrame, library: Library, cfg: ScreeningConf
     return cut_lineage(probed)
 
 
-def retrieve_candidates(prepared: DataFrame, library: Library, cfg: ScreeningConfig) -> tuple[DataFrame, DataFrame]:
+def is_small(prepared: DataFrame, cfg: ScreeningConfig) -> bool:
+    """The batch is small enough to be sent to the tasks that scan the corpus."""
+    return prepared.limit(cfg.small_batch_rows + 1).count() <= cfg.small_batch_rows
+
+
+def lexical_hits(prepared: DataFrame, library: Library, cfg: ScreeningConfig, clustered: bool, small: bool) -> DataFrame:
+    if not clustered or library.titles is None:
+        return fuzzy.fuzzy_hits(*fuzzy.scope(prepared, library.corpus, cfg, clustered), cfg)
+    if small:
+        return fuzzy.hits_by_scan(prepared, library.titles, cfg)
+    asked = [r[0] for r in prepared.select(F.explode("cluster_ids")).distinct().collect()]  # clusters of the bounded model
+    return fuzzy.fuzzy_hits(fuzzy.probe_rows(prepared), fuzzy.merged_titles(library.titles, asked), cfg)
+
+
+def retrieve_candidates(prepared: DataFrame, library: Library, cfg: ScreeningConfig, small: bool = False) -> tuple[DataFrame, DataFrame]:
     """(candidates, exact heads). Candidates hold every semantic and lexical one, and of the exact
-    pass the rows a verdict can look at; the heads hold the pass's full size."""
+    pass the rows a verdict can look at; the heads hold the pass's full size. A ``small`` batch (see
+    :func:`is_small`) is sent to the scans of corpus and index; nothing of their size is shuffled then if the
+    library has derived tables."""
     clustered, model = False, None
     if library.centroids is not None:
         ids, model = clusters.load_model(library.centroids, cfg)
         clustered = len(ids) > 0
-    semantic = knn.nearest_neighbours(prepared, library.vectors, cfg.vector_fetch, cfg, model)
-    probes, titles = fuzzy.scope(prepared, library.corpus, cfg, clustered)
-    lexical = fuzzy.fuzzy_hits(probes, titles, cfg)
-    heads = exact.exact_heads(prepared, library.corpus, cfg.head_rows)
+    if small:
+        semantic = knn.nearest_by_scan(prepared, library.vectors, cfg.vector_fetch, cfg)
+    else:
+        semantic = knn.nearest_neighbours(prepared, library.vectors, cfg.vector_fetch, cfg, model)
+    lexical = lexical_hits(prepared, library, cfg, clustered, small)
+    if library.heads is None:
+        heads = exact.exact_heads(prepared, library.corpus, cfg.head_rows)
+    else:
+        heads = exact.stored_heads(prepared, library.heads, cfg.head_rows, cfg)
     named = heads.select("proposal_id", F.explode("exact_ids").alias("id"))
-    pairs = cand.attach_records(cand.merge_passes(semantic, lexical, named), library.corpus, prepared)
+    pairs = cand.attach_records(cand.merge_passes(semantic, lexical, named), library.corpus, prepared, small)
     return cand.admit(pairs, cfg), heads
 
 
@@ -89,13 +119,25 @@ def all_candidates(prepared: DataFrame, library: Library, cfg: ScreeningConfig)
     return cand.admit(cand.attach_records(merged, library.corpus, prepared), cfg)
 
 
-def ranked_candidates(prepared: DataFrame, library: Library, cfg: ScreeningConfig) -> tuple[DataFrame, DataFrame]:
-    found, heads = retrieve_candidates(prepared, library, cfg)
+def ranked_candidates(prepared: DataFrame, library: Library, cfg: ScreeningConfig, small: bool = False) -> tuple[DataFrame, DataFrame]:
+    found, heads = retrieve_candidates(prepared, library, cfg, small)
     return cand.rank_candidates(cand.score_candidates(found, cfg)), heads
 
 
 def screen(proposals: DataFrame, library: Library, cfg: ScreeningConfig = ScreeningConfig()) -> DataFrame:
-    """One verdict per proposal (proposal_id, title, domain, embedding, ...)."""
-    prepared = prepare_proposals(proposals, library, cfg)
-    ranked, heads = ranked_candidates(prepared, library, cfg)
-    return decisions.verdicts(prepared, decisions.summarise(ranked, library.corpus, cfg), heads, cfg)
+    """One verdict per proposal (proposal_id, title, domain, embedding, ...), missing domains and languages by
+    their defaults. Nothing is rejected here: requests from outside go through :func:`verify`."""
+    return verdicts_of(prepare_proposals(with_violations(proposals).drop("violations"), library, cfg), library, cfg)
+
+
+def verify(requests: DataFrame, library: Library, cfg: ScreeningConfig = ScreeningConfig()) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, rejected): the requests that keep the field limits and bring a usable vector are screened, the
+    others come back with their ``violations``."""
+    good, bad = split_requests(requests, library.dimension)
+    return screen(good, library, cfg), bad
+
+
+def verdicts_of(prepared: DataFrame, library: Library, cfg: ScreeningConfig) -> DataFrame:
+    small = is_small(prepared, cfg)
+    ranked, heads = ranked_candidates(prepared, library, cfg, small)
+    return decisions.verdicts(prepared, decisions.summarise(ranked, library.corpus, cfg, small), heads, cfg)
