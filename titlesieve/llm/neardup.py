@@ -4,7 +4,8 @@ Equal sets are one class from the start, so copies cost nothing further. A class
 of its bands. First every bucket compares its members with a few random leaders only; what the full sets
 confirm is merged into components, and this is repeated with other leaders if it removes much of the pairs
 still open. Then, in buckets whose members still lie in several components, all remaining pairs across
-components are screened. A group of thousands of near copies thus hardly meets pair by pair, and no candidate
+components are screened inside the bucket's task, also by size and by the parity of the whole sets, which tells the
+number of differing shingles almost exactly; only pairs that pass become rows. A group of thousands of near copies thus hardly meets pair by pair, and no candidate
 between different components is dropped, however large its bucket.
 
 The odd sketch of a class holds, bit by bit, the parity of how many of its MinHash samples fall on the bit.
@@ -25,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import compute_tasks
 from .common import cut, words
 from .components import components
-from .shingles import mix, shingle_sets
+from .shingles import mix, shingle_sets, sliced
 
 _CHUNK = 2048  # shingles whose samples are held at once
 _SEED = 7
@@ -45,17 +47,35 @@ class NearDup:
     leaders: int = 4  # of each bucket in a round
     meets: int = 16  # leaders of its buckets that a member is compared with in a round
     turns: int = 2  # rounds at most; what they leave open is compared across components
+    whole: int = 4096  # shingles up to which all go into the parity of the set; of larger sets a half, a quarter, ...
+    block_rows: int = 2048  # members of a bucket's block in the comparison across components
 
     @property
     def most_bits(self) -> int:
         """Differing sketch bits up to which a pair may have the wanted similarity: mean and standard deviation
         of a binomial number of differing samples, each of which flips two random bits."""
-        n, share = self.bits, 1 - self.percent / 100
+        share = 1 - self.percent / 100
         differ = self.samples * share
-        mean = n / 2 * (1 - (1 - 2 / n) ** (2 * differ))
-        parity = n / 4 + n * (n - 1) / 4 * (1 - 4 / n) ** (2 * differ) - n * n / 4 * (1 - 2 / n) ** (4 * differ)
-        slope = 2 * (1 - 2 / n) ** (2 * differ)
-        return int(mean + self.spare * sqrt(parity + slope**2 * differ * (1 - share))) + 1
+        return int(self._bits(2 * differ, 4 * differ * (1 - share)))
+
+    def _bits(self, flips, spread):
+        """Bits that ``flips`` random flips of variance ``spread`` change, with ``spare`` deviations and one bit more."""
+        n = self.bits
+        mean = n / 2 * (1 - (1 - 2 / n) ** flips)
+        parity = n / 4 + n * (n - 1) / 4 * (1 - 4 / n) ** flips - n * n / 4 * (1 - 2 / n) ** (2 * flips)
+        slope = (1 - 2 / n) ** flips
+        return mean + self.spare * np.sqrt(np.maximum(parity, 0) + slope**2 * spread) + 1
+
+    def level(self, size: np.ndarray) -> np.ndarray:
+        """How often a set is halved by hash before its parity is taken."""
+        return np.ceil(np.log2(np.maximum(size, 1) / self.whole)).clip(0).astype(np.int64)
+
+    def set_bits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing parity bits up to which sets of ``a`` and ``b`` shingles may have the wanted similarity. So
+        similar sets differ in a bounded number of shingles, of which each level keeps about a half."""
+        differ = np.floor((a + b) * (100 - self.percent) / (100 + self.percent))
+        share = 0.5 ** np.maximum(self.level(a), self.level(b))
+        return self._bits(differ * share, differ * share * (1 - share))
 
 
 def _signer(cfg: NearDup):
@@ -73,13 +93,25 @@ def _signer(cfg: NearDup):
         bands = np.zeros(cfg.bands, dtype=np.uint64)
         for column in samples[: cfg.bands * cfg.rows].reshape(cfg.bands, cfg.rows).T:
             bands = mix(bands + column)
-        odd = np.bincount((samples % np.uint64(cfg.bits)).astype(np.int64), minlength=cfg.bits) & 1
-        sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
-        return mix(bands + band[:, 0]).view(np.int64), sketch
+        return mix(bands + band[:, 0]).view(np.int64), _odd(samples, cfg)
 
     return sign
 
 
+def _odd(hashes: np.ndarray, cfg: NearDup) -> np.ndarray:
+    """The parity, place by place, of how many hashes fall there."""
+    odd = np.bincount((hashes % np.uint64(cfg.bits)).astype(np.int64), minlength=cfg.bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _parity(found: np.ndarray, cfg: NearDup) -> np.ndarray:
+    """Odd sketch of the whole set at its level and, where a partner may lie a level above, at the next."""
+    hashes, level = mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)), int(cfg.level(np.array([len(found)]))[0])
+    above = level + 1 if cfg.level(np.array([len(found) * 100 / cfg.percent + 1]))[0] > level else level
+    kept = lambda k: hashes[(hashes >> np.uint64(40)) & np.uint64((1 << k) - 1) == 0]
+    return np.concatenate([_odd(kept(k), cfg) for k in range(level, above + 1)])
+
+
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)]).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
@@ -87,31 +119,35 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, cfg: NearDup) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set, null for an empty one), bands, sketch."""
+    """doc_id, mark (digest of the text), n_shingles, key (digest of the set, null for an empty one), bands, sketch, parity."""
 
     def run(batches):
         sign, none = _signer(cfg), np.empty(0, dtype=np.int64)
-        for batch in batches:
-            n, keys, bands, sketches = [], [], [], []
+        for batch in sliced(batches, "text"):
+            n, keys, told = [], [], ([], [], [])
             for found in shingle_sets(batch.column("text"), cfg.words):
                 n.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                b, s = sign(found) if len(found) else (none, none)
-                bands.append(b)
-                sketches.append(s)
+                for list_, part in zip(told, (*sign(found), _parity(found, cfg)) if len(found) else (none,) * 3):
+                    list_.append(part)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _lists(bands), _lists(sketches)],
-                names=["doc_id", "n_shingles", "key", "bands", "sketch"])
+                [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *map(_lists, told)],
+                names=["doc_id", "mark", "n_shingles", "key", "bands", "sketch", "parity"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", _mark().alias("mark")).mapInArrow(
+        run, f"doc_id {kind}, mark string, n_shingles long, key binary, bands array<long>, sketch array<long>, parity array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, key binary, bands array<long>, sketch array<long>")
+def _mark() -> Column:
+    return F.md5(F.col("text").cast("binary"))
 
 
 def keyed_sets(docs: DataFrame, cfg: NearDup) -> DataFrame:
     """key and the whole shingle set of each document that has one."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             found = [f for f in shingle_sets(batch.column("text"), cfg.words) if len(f)]
             keys = [hashlib.blake2b(f.tobytes(), digest_size=16).digest() for f in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists([f.view(np.int64) for f in found])], names=["key", "shingles"])
@@ -175,10 +211,104 @@ def _linked(docs: DataFrame, classes: DataFrame, cfg: NearDup) -> DataFrame:
         pairs = cut(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         roots = _merged(roots, cut(_confirmed(pairs, sets, cfg)))
-    rows = rooted.select("band", "cid", "root").join(sketch("cid"), "cid")
-    left, right = (rows.select("band", F.col("cid").alias(c), F.col("root").alias(f"r{c}"), F.col("ocid").alias(f"o{c}")) for c in "ab")
-    across = left.join(right, "band").filter("a < b AND ra <> rb").filter(_close(F.col("oa"), F.col("ob"), cfg)).select("a", "b").distinct()
-    return _merged(roots, _confirmed(across.join(tested, ["a", "b"], "left_anti"), sets, cfg))
+    across = cut(_across(rooted, classes, cfg).join(tested, ["a", "b"], "left_anti"))
+    return _merged(roots, _confirmed(across, sets, cfg))
+
+
+_KEY = ["band", "low", "high"]
+
+
+def _across(rooted: DataFrame, classes: DataFrame, cfg: NearDup) -> DataFrame:
+    """Pairs (a, b) of different components that share a band and may have the wanted similarity by their sizes,
+    their odd sketches and the parities of their whole sets. Buckets are compared inside tasks, large ones block by
+    block; a pair is judged in the first band its members share, and only what passes becomes a row."""
+    blocks = F.ceil(F.col("n") / cfg.block_rows).cast("int")
+    at = rooted.groupBy("cid", "root").agg(F.collect_list(F.struct("band", blocks.alias("blocks"))).alias("at"))
+    rows = at.join(classes.select("cid", "n_shingles", "bands", "sketch", "parity"), "cid").withColumn("at", F.explode("at"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("at.blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at.blocks") - 1)))
+    rows = rows.select("cid", "root", "n_shingles", "bands", "sketch", "parity", "side", F.col("at.band").alias("band"),
+                       F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+    rows = rows.repartition(compute_tasks(rows.sparkSession), *_KEY).sortWithinPartitions(*_KEY)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            last = int(_starts(table)[-1])  # the last group may go on in the next batch
+            if last:
+                yield _open_pairs(table.slice(0, last), cfg)
+            held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            yield _open_pairs(pa.Table.from_batches(held), cfg)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    keys = np.stack([table.column(c).to_numpy() for c in _KEY])
+    return np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+
+
+def _rows_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Equally long lists as a matrix."""
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1) for c in column.chunks])
+
+
+class _Members:
+    """Members of whole groups (band, block, block)."""
+
+    def __init__(self, table: pa.Table, cfg: NearDup):
+        self.cfg, self.wide = cfg, cfg.bits // 64
+        self.cid, self.root, self.size, self.side, band = (table.column(c).to_numpy() for c in ("cid", "root", "n_shingles", "side", "band"))
+        self.cross = table.column("low").to_numpy() != table.column("high").to_numpy()
+        self.bands, self.sketch, self.level = _rows_of(table.column("bands")), _rows_of(table.column("sketch")), cfg.level(self.size)
+        self.place = (self.bands == band[:, None]).argmax(axis=1)  # a band has one place in all lists
+        self.parity = np.empty((len(self.cid), 2 * self.wide), dtype=np.int64)
+        for i, p in enumerate(p for c in table.column("parity").chunks for p in c):
+            p = p.values.to_numpy()
+            self.parity[i, :self.wide], self.parity[i, self.wide:] = p[:self.wide], p[-self.wide:]
+
+    def open_(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs of rows those that remain open here."""
+        cfg = self.cfg
+        i, j = np.where(self.size[i] <= self.size[j], i, j), np.where(self.size[i] <= self.size[j], j, i)
+        keep = (self.root[i] != self.root[j]) & (~self.cross[i] | (self.side[i] != self.side[j]))
+        keep &= 100 * self.size[i] >= cfg.percent * self.size[j]
+        i, j = i[keep], j[keep]
+        count = lambda x: np.bitwise_count(x.view(np.uint64)).sum(axis=1, dtype=np.int64)  # noqa: E731  of signed numbers it takes the absolute value
+        keep = count(self.sketch[i] ^ self.sketch[j]) <= cfg.most_bits
+        i, j = i[keep], j[keep]
+        above = (self.level[j] > self.level[i])[:, None]
+        lower = np.where(above, self.parity[i, self.wide:], self.parity[i, :self.wide])
+        keep = count(lower ^ self.parity[j, :self.wide]) <= cfg.set_bits(self.size[i], self.size[j])
+        i, j = i[keep], j[keep]
+        before = np.arange(self.bands.shape[1])[None, :] < self.place[i][:, None]
+        keep = ~((self.bands[i] == self.bands[j]) & before).any(axis=1)
+        return i[keep], j[keep]
+
+
+_SMALL = 32  # members up to which groups are compared together, by distance in the table
+
+
+def _open_pairs(table: pa.Table, cfg: NearDup) -> pa.RecordBatch:
+    """What :func:`_across` gives out of whole groups."""
+    starts = _starts(table)
+    sizes = np.diff(np.append(starts, len(table)))
+    members, group, of = _Members(table, cfg), np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes)
+    found = []
+    for k in range(1, min(_SMALL, int(sizes.max()))):
+        i = np.flatnonzero((group[:-k] == group[k:]) & (of[:-k] <= _SMALL))
+        found.append(members.open_(i, i + k))
+    for start, size in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL]):
+        for i in range(start, start + size - 1):
+            j = np.arange(i + 1, start + size)
+            found.append(members.open_(np.full(len(j), i), j))
+    i, j = (np.concatenate([f[c] for f in found] or [np.empty(0, dtype=np.int64)]) for c in (0, 1))
+    a, b = members.cid[i], members.cid[j]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -193,14 +323,16 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, cfg: NearDup) -> tuple[DataFrame, DataFrame]:
-    """Documents as (doc_id, n_shingles, key) and classes as (key, rep, component_id, root)."""
+    """Documents as (doc_id, n_shingles, key) and classes as (key, rep, mark, component_id, root); ``rep`` and ``mark``
+    name the class's document of smallest doc_id and its text."""
     signed = cut(signatures(docs, cfg))
     grouped = signed.filter("n_shingles > 0").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))["mark"].alias("mark"),
+        *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "parity")))
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()))  # kept with its ids
     roots = _linked(docs, classes, cfg)
-    placed = classes.select("cid", "key", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    placed = cut(placed.select("key", "rep", F.coalesce("root", "cid").alias("root")))
+    placed = classes.select("cid", "key", "rep", "mark").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    placed = cut(placed.select("key", "rep", "mark", F.coalesce("root", "cid").alias("root")))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     return signed.select("doc_id", "n_shingles", "key"), cut(placed.join(least, "root"))
 
@@ -221,26 +353,12 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
-    """``docs`` with one row of each component: of the class of its smallest doc_id, that document.
-    Documents without words stay."""
+    """``docs`` with one row of each component: of the class of its smallest doc_id, that document, once. Documents
+    without words stay. Columns beginning with ``_nd_`` are reserved."""
     _, placed = classes_of(docs, cfg)
-    chosen = placed.filter(F.col("rep").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
-        F.min(F.struct("key", "rep")).alias("c")).select(F.col("c.key").alias("_key"), F.col("c.rep").alias("_rep"))
-    keyed = with_key(docs, cfg)
-    copies = keyed.join(chosen, keyed["_key"].eqNullSafe(chosen["_key"]) & keyed["doc_id"].eqNullSafe(chosen["_rep"]), "left_semi")
+    chosen = placed.filter(F.col("rep").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("key", "rep", "mark")).alias("c"))
+    chosen = chosen.select(F.col("c.rep").alias("_nd_rep"), F.col("c.mark").alias("_nd_was"))
+    marked = docs.withColumn("_nd_mark", _mark())
+    copies = marked.join(chosen, marked["doc_id"].eqNullSafe(chosen["_nd_rep"]) & (marked["_nd_mark"] == chosen["_nd_was"]), "left_semi")
     empty = docs.filter(F.size(words(F.col("text"))) == 0)
-    return copies.dropDuplicates(["_key", "doc_id"]).select(*docs.columns).unionByName(empty)
-
-
-def with_key(docs: DataFrame, cfg: NearDup) -> DataFrame:
-    """``docs`` with ``_key``, the digest of the shingle set."""
-    from pyspark.sql import types as T
-
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            keys = [hashlib.blake2b(f.tobytes(), digest_size=16).digest() if len(f) else None for f in shingle_sets(batch.column(at), cfg.words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_key"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType())]))
+    return copies.dropDuplicates(["doc_id", "_nd_mark"]).select(*docs.columns).unionByName(empty)

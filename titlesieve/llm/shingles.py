@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _PIECE = 1 << 20  # bytes whose prefix sums are held at once
 _U = np.uint64
@@ -99,3 +100,18 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
             n = int(b - a)
             yield np.unique(_grams(hashes[a:b], min(size, n))) if n else np.empty(0, dtype=_U)
         row = stop
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of a bounded number of text bytes (or one text), so that what is made of a piece is
+    bounded too."""
+    for batch in batches:
+        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at, total = 0, 0
+        for i, n in enumerate(size):
+            if i > at and total + n > 4 * _PIECE:
+                yield batch.slice(at, i - at)
+                at, total = i, 0
+            total += int(n)
+        if batch.num_rows > at:
+            yield batch.slice(at)
