@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import bloom
 from ..session import compute_tasks
 from .common import cut, words
 from .components import components
@@ -33,6 +34,7 @@ from .shingles import mix, shingle_sets, sliced
 
 _CHUNK = 2048  # shingles whose samples are held at once
 _SEED = 7
+_SIEVE_BITS, _MOST_SIEVE_BITS = 16, 1 << 26  # of the Bloom filter by doc_id: a key, in all
 
 
 @dataclass(frozen=True)
@@ -119,24 +121,24 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, cfg: NearDup) -> DataFrame:
-    """doc_id, mark (digest of the text), n_shingles, key (digest of the set, null for an empty one), bands, sketch, parity."""
+    """doc_id, mark (digest of the text), n_shingles, key (digest of the set, null for an empty one), bands, sketch."""
 
     def run(batches):
         sign, none = _signer(cfg), np.empty(0, dtype=np.int64)
         for batch in sliced(batches, "text"):
-            n, keys, told = [], [], ([], [], [])
+            n, keys, told = [], [], ([], [])
             for found in shingle_sets(batch.column("text"), cfg.words):
                 n.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                for list_, part in zip(told, (*sign(found), _parity(found, cfg)) if len(found) else (none,) * 3):
+                for list_, part in zip(told, sign(found) if len(found) else (none, none)):
                     list_.append(part)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *map(_lists, told)],
-                names=["doc_id", "mark", "n_shingles", "key", "bands", "sketch", "parity"])
+                names=["doc_id", "mark", "n_shingles", "key", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", _mark().alias("mark")).mapInArrow(
-        run, f"doc_id {kind}, mark string, n_shingles long, key binary, bands array<long>, sketch array<long>, parity array<long>")
+        run, f"doc_id {kind}, mark string, n_shingles long, key binary, bands array<long>, sketch array<long>")
 
 
 def _mark() -> Column:
@@ -144,15 +146,16 @@ def _mark() -> Column:
 
 
 def keyed_sets(docs: DataFrame, cfg: NearDup) -> DataFrame:
-    """key and the whole shingle set of each document that has one."""
+    """key, the whole shingle set and its parity, of each document that has one."""
 
     def run(batches):
         for batch in sliced(batches, "text"):
             found = [f for f in shingle_sets(batch.column("text"), cfg.words) if len(f)]
             keys = [hashlib.blake2b(f.tobytes(), digest_size=16).digest() for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists([f.view(np.int64) for f in found])], names=["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists([f.view(np.int64) for f in found]), _lists([_parity(f, cfg) for f in found])],
+                                             names=["key", "shingles", "parity"])
 
-    return docs.select("text").mapInArrow(run, "key binary, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "key binary, shingles array<long>, parity array<long>")
 
 
 def _close(a: Column, b: Column, cfg: NearDup) -> Column:
@@ -176,12 +179,17 @@ def _linked(docs: DataFrame, classes: DataFrame, cfg: NearDup) -> DataFrame:
     banded = classes.select(F.explode("bands").alias("band"), "cid")
     leaders = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("cid").alias("leader")).filter("n > 1")
     members = cut(banded.join(leaders.select("band", "leader"), "band"))
-    involved = members.select("cid").distinct().join(classes.select("cid", "key", "rep"), "cid")
-    texts = docs.select("doc_id", "text").join(involved.select("rep"), F.expr("doc_id <=> rep"), "left_semi")
-    sets = cut(
-        keyed_sets(texts, cfg).groupBy("key").agg(F.first("shingles").alias("shingles"))
-        .join(involved.select("key", "cid"), "key").select("cid", "shingles"))
-    sketch = lambda c: classes.select(F.col("cid").alias(c), F.col("sketch").alias(f"o{c}"))
+    # whatever shares no bucket is done with; only what does moves on with its text
+    involved = members.select("cid").distinct().join(classes, "cid").select("cid", "key", "rep", "n_shingles", "bands", "sketch")
+    involved = cut(involved)
+    sieve = bloom.build(involved, "rep", involved.count(), _SIEVE_BITS, _MOST_SIEVE_BITS)
+    texts = docs.select("doc_id", "text")
+    if sieve is not None:
+        texts = texts.filter(F.col("doc_id").isNull() | sieve.may_hold(F.col("doc_id")))
+    texts = texts.join(involved.select("rep"), F.expr("doc_id <=> rep"), "left_semi")
+    found = keyed_sets(texts, cfg).groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity"))
+    sets = cut(found.join(involved.select("key", "cid", "n_shingles", "bands", "sketch"), "key").drop("key"))
+    sketch = lambda c: sets.select(F.col("cid").alias(c), F.col("sketch").alias(f"o{c}"))
 
     roots, tested, open_before, turn = None, None, None, 0
     while True:
@@ -211,20 +219,20 @@ def _linked(docs: DataFrame, classes: DataFrame, cfg: NearDup) -> DataFrame:
         pairs = cut(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         roots = _merged(roots, cut(_confirmed(pairs, sets, cfg)))
-    across = cut(_across(rooted, classes, cfg).join(tested, ["a", "b"], "left_anti"))
+    across = cut(_across(rooted, sets, cfg).join(tested, ["a", "b"], "left_anti"))
     return _merged(roots, _confirmed(across, sets, cfg))
 
 
 _KEY = ["band", "low", "high"]
 
 
-def _across(rooted: DataFrame, classes: DataFrame, cfg: NearDup) -> DataFrame:
+def _across(rooted: DataFrame, sets: DataFrame, cfg: NearDup) -> DataFrame:
     """Pairs (a, b) of different components that share a band and may have the wanted similarity by their sizes,
     their odd sketches and the parities of their whole sets. Buckets are compared inside tasks, large ones block by
     block; a pair is judged in the first band its members share, and only what passes becomes a row."""
     blocks = F.ceil(F.col("n") / cfg.block_rows).cast("int")
     at = rooted.groupBy("cid", "root").agg(F.collect_list(F.struct("band", blocks.alias("blocks"))).alias("at"))
-    rows = at.join(classes.select("cid", "n_shingles", "bands", "sketch", "parity"), "cid").withColumn("at", F.explode("at"))
+    rows = at.join(sets.drop("shingles"), "cid").withColumn("at", F.explode("at"))
     rows = rows.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("at.blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at.blocks") - 1)))
     rows = rows.select("cid", "root", "n_shingles", "bands", "sketch", "parity", "side", F.col("at.band").alias("band"),
@@ -328,7 +336,7 @@ def classes_of(docs: DataFrame, cfg: NearDup) -> tuple[DataFrame, DataFrame]:
     signed = cut(signatures(docs, cfg))
     grouped = signed.filter("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))["mark"].alias("mark"),
-        *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "parity")))
+        *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()))  # kept with its ids
     roots = _linked(docs, classes, cfg)
     placed = classes.select("cid", "key", "rep", "mark").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
