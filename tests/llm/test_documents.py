@@ -234,7 +234,7 @@ def test_surrogates(docs, awkward):
     assert cards[0] == cards[1].replace("-", "") and luhn(cards[0])
     assert re.search(r'token = "[0-9a-f]{40}"### ip \d+\.\d+\.\d+\.\d+### v 999\.1\.1\.1 ssn \d{3}-\d{2}-\d{4}$', out[3]["text"])
     names = re.match(r"Mr\. (\w+) (\w+) met Frau (\w+) and Dr (\w+) (\w+)\. Mr ([а-яА-Я]+) ([а-яА-Я]+), IBAN (DE[\d ]+)\.$", out[4]["text"]).groups()
-    assert names[1] == names[2] == names[4] and names[0] != names[3]
+    assert names[1] == names[2] == names[4] and names[0] == names[3]  # Mr and Dr John: one name, one surrogate
     iban = names[7].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     again = {r["doc_id"]: r["text"] for r in pii.pseudonymised(table.repartition(5)).collect()}
@@ -245,6 +245,43 @@ def test_surrogates(docs, awkward):
     assert set(rest.columns) == {*awkward.columns, "n_replaced"} and pii.pseudonymised(docs([])).count() == 0
 
 
+def test_names_stay_whole_and_keep_one_surrogate(docs):
+    texts = ["Ms. Anna-Maria Lopez came.", "Mr Jean-Luc Picard, later Picard alone, Picardy not.", "Monsieur D'Artagnan et D'Artagnan.",
+             "Frau Müller-Lüdenscheidt", "Mr John Smith and Dr John Smith. John Smith left; Smith's hat.", "Mr McDonald", "Mrs Kim Smith. Mr Kim Smith.",
+             "John Smith without a title here"]
+    out = [r["text"] for r in pii.pseudonymised(docs([(i, t, "en", "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    for real in ("Anna", "Maria", "Lopez", "Jean", "Luc", "Picard,", "Artagnan", "Müller", "Lüdenscheidt", "McDonald", "Donald"):
+        assert not any(real in t for t in out[:7]), real
+    assert "Picardy not." in out[1] and out[7] == texts[7]  # names are known within their own document
+    assert re.fullmatch(r"Ms\. \w+na \w+rt came\.", out[0]) and re.fullmatch(r"Frau \w+rt", out[3])
+    picard = re.fullmatch(r"Mr (\w+) (\w+), later (\w+) alone, Picardy not\.", out[1]).groups()
+    assert picard[1] == picard[2]
+    smith = re.fullmatch(r"Mr (\w+n) (\w+) and Dr (\w+) (\w+)\. (\w+) (\w+) left; (\w+)'s hat\.", out[4]).groups()
+    assert len({smith[i] for i in (0, 2, 4)}) == 1 and len({smith[i] for i in (1, 3, 5, 6)}) == 1
+    kim = re.fullmatch(r"Mrs (\w+) (\w+)\. Mr (\w+) (\w+)\.", out[6]).groups()
+    assert kim[0] == kim[2] and kim[0].endswith("l") and kim[1] == smith[1]
+
+
+def test_domains_stay_distinct(spark):
+    a_z = "abcdefghijklmnopqrstuvwxyz"
+    found = spark.createDataFrame([("email", f"me@{x}{y}.com") for x in a_z[:9] for y in a_z[:9]] + [("email", "you@aa.com")]
+                                  + [("email", f"me@{x}.org") for x in a_z], "kind string, canon string")
+    got = {r["canon"]: r["surrogate"] for r in pii.assign(found, pii.Surrogates(rounds=2)).collect()}
+    domains = {c.split("@")[1]: s.split("@")[1] for c, s in got.items()}
+    assert len(set(domains.values())) == len(domains) == 81 + 26 and not set(domains) & set(domains.values())
+    assert got["you@aa.com"].split("@")[1] == domains["aa.com"] and all(s.rsplit(".", 1)[1] == c.rsplit(".", 1)[1] for c, s in domains.items())
+
+
+def test_long_texts_of_every_alphabet(docs):
+    n = 300_000
+    made = ["a@b" + ".c" * (n // 2), "a@" * (n // 2), "a.b-c_d%" * (n // 8), "1-" * (n // 2), "+1 " * (n // 3), "12 34 " * (n // 6), "4111 " * (n // 5),
+            "DE00 1234 " * (n // 10), "1." * (n // 2), "Mr A" * (n // 4), "Mr Aa-" + "Aa-" * (n // 3), "token=" * (n // 6), "token=1" + "x" * n, "sk-" + "a" * n,
+            "(" * n, "a@" + "b-" * (n // 2) + ".com", "x@y.z " * (n // 6)]
+    table = docs([(i, t, "en", "s") for i, t in enumerate(made)])
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymised(table).collect()}
+    assert len(out) == len(made) and out[2] == made[2] and out[14] == made[14] and "x@y.z" not in out[16] and made[12][8:] not in out[12]
+
+
 def test_surrogates_stay_distinct(spark):
     found = spark.createDataFrame([("ip", f"10.0.{i // 200}.{i % 200}") for i in range(3000)] + [("ssn", f"{i:09d}") for i in range(3000)]
                                   + [("secret", f"a{i % 10}") for i in range(10)], "kind string, canon string")

@@ -55,24 +55,30 @@ def urls() -> str:
         f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{v(r)}'" for r in rules) + " END"
     link = r"href\s*=\s*[\"'']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"''\s>]+)"
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    rounds = "".join(f""",
-s{i + 1} AS MATERIALIZED (SELECT s.kind, s.host, s.seed, {1 - cfg.damping} * s.seed + {cfg.damping} * coalesce(c.came, 0) AS score
-  FROM s{i} s LEFT JOIN (SELECT f.kind, f."end" AS host, sum(score * part) AS came FROM s{i} s JOIN flow f
-  ON s.kind = f.kind AND s.host = f.start GROUP BY ALL) c ON s.kind = c.kind AND s.host = c.host)""" for i in range(cfg.rounds))
+    target = r"href\s*=\s*[\"'']?\s*(?:[a-z][a-z0-9+.\-]*:)?(//[^/?#\"''\s>]+[^#\"''\s>]*)"
+    host = lambda u: low.format(f"coalesce(regexp_extract({u}, '://([^/?#]*)', 1), '')")
+    rest = lambda u: f"regexp_extract({u}, '://[^/?#]*([^#]*)', 1)"
+    address = lambda u: f"{host(u)} || CASE WHEN starts_with({rest(u)}, '/') THEN {rest(u)} ELSE '/' || {rest(u)} END"
     return rf"""
-WITH p AS MATERIALIZED (SELECT page_id, html, {low.format("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host,
+WITH RECURSIVE p AS MATERIALIZED (SELECT page_id, url, html, {host('url')} AS host,
   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS MATERIALIZED (SELECT page_id, host, path, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS ruled FROM p),
-seeds AS MATERIALIZED (SELECT host, count(*) FILTER (ruled = 'allow') AS allowed, count(*) FILTER (ruled = 'block') AS blocked FROM r WHERE host <> '' GROUP BY 1),
+named AS (SELECT host AS source, ':' || unnest(regexp_extract_all(html, '{target}', 1, 'i')) AS u FROM p WHERE host <> ''),
+targets AS (SELECT address, {host("'://' || address")} AS host, regexp_extract('://' || address, '://[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT DISTINCT {address('u')} AS address FROM named WHERE source <> {host('u')})
+  WHERE address NOT IN (SELECT {address('url')} FROM p WHERE url IS NOT NULL)),
+judged AS (SELECT host, {case(lambda r: r.verdict)} AS ruled FROM targets UNION ALL SELECT host, ruled FROM r WHERE host <> ''),
+seeds AS MATERIALIZED (SELECT host, count(*) FILTER (ruled = 'allow') AS allowed, count(*) FILTER (ruled = 'block') AS blocked FROM judged GROUP BY 1),
 l AS MATERIALIZED (SELECT source, target, count(*) AS links FROM (SELECT host AS source,
   {low.format(f"unnest(regexp_extract_all(html, '{link}', 1, 'i'))")} AS target FROM p) WHERE source <> '' AND source <> target GROUP BY ALL),
 flow AS MATERIALIZED (SELECT 'trust' AS kind, source AS start, target AS "end", links / sum(links) OVER (PARTITION BY source) AS part FROM l
   UNION ALL SELECT 'distrust', target, source, links / sum(links) OVER (PARTITION BY target) FROM l),
-known AS (SELECT 'trust' AS kind, host, allowed / greatest(sum(allowed) OVER (), 1) AS seed FROM seeds
-  UNION ALL SELECT 'distrust', host, blocked / greatest(sum(blocked) OVER (), 1) FROM seeds),
-s0 AS MATERIALIZED (SELECT kind, host, coalesce(seed, 0) AS seed, coalesce(seed, 0) AS score FROM known
-  FULL JOIN (SELECT DISTINCT kind, "end" AS host FROM flow) USING (kind, host)){rounds},
-h AS (SELECT host, sum(score) FILTER (kind = 'trust') AS trust, sum(score) FILTER (kind = 'distrust') AS distrust FROM s{cfg.rounds} GROUP BY 1)
+known AS (SELECT 'trust' AS kind, host, {1 - cfg.damping} * allowed / greatest(sum(allowed) OVER (), 1) AS mass FROM seeds
+  UNION ALL SELECT 'distrust', host, {1 - cfg.damping} * blocked / greatest(sum(blocked) OVER (), 1) FROM seeds),
+way(step, kind, host, mass) AS (SELECT 0, kind, host, mass FROM known WHERE mass > 0
+  UNION ALL SELECT step + 1, f.kind, f."end", {cfg.damping} * sum(mass * part) FROM way w JOIN flow f ON w.kind = f.kind AND w.host = f.start
+  WHERE step < 160 GROUP BY ALL),
+h AS (SELECT host, sum(mass) FILTER (kind = 'trust') AS trust, sum(mass) FILTER (kind = 'distrust') AS distrust FROM way GROUP BY 1)
 SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) > {cfg.tolerance} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM r LEFT JOIN h ON r.host = h.host"""
 

@@ -22,17 +22,20 @@ OTHER_TITLES = ("Dr", "Prof")
 
 _TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES, key=lambda t: (-len(t), t)))
 _SECRET_HEAD = r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth[_-]?key)\b["']?\s{0,3}[:=]\s{0,3}["']?)"""
+#: A capitalised word with a lower-case letter, whole across hyphens, apostrophes and inner capitals.
+_NAME = r"(?=[\p{L}\p{M}'’-]{1,60}\p{Ll})\p{Lu}[\p{L}\p{M}'’-]{0,60}[\p{L}\p{M}]"
 _PATTERNS = {
     "secret": _SECRET_HEAD + r"""(?=[^\s"'<>]{0,200}\d)[^\s"'<>]{6,}""",
     "key": r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})\b",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+",
+    # classes of bounded length instead of repeated groups, which take the regex engine a stack frame a turn
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?=[A-Za-z0-9-]{1,190}\.[A-Za-z0-9-]{0,60}[A-Za-z0-9])(?:(?!\.\.)[A-Za-z0-9.-]){1,250}(?<=[A-Za-z0-9])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?:(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|(?<![\w+])\+1\d{10}"
              r"|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3})(?!\d)",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
-    "name": r"(?<!\w)(?:" + _TITLES + r")\.? \p{Lu}[\p{Ll}'-]+(?: \p{Lu}[\p{Ll}'-]+)?",
+    "name": r"(?<!\w)(?:" + _TITLES + r")\.? " + _NAME + r"(?: " + _NAME + r")?",
 }
 #: Any entity; the first kind that fits at a place wins.
 PATTERN = "|".join(p for p in _PATTERNS.values())
@@ -135,15 +138,18 @@ def parsed(raw: DataFrame) -> DataFrame:
     return out.filter(good).select("raw", "head", F.when(F.col("kind") == "name", name).otherwise(one).alias("parts"))
 
 
+_LONG = 512  # e-mail addresses and whatever has a format are shorter
+
+_TLD = "substring_index(canon, '.', -1)"
+_LABELS = f"substr(canon, 1, length(canon) - length({_TLD}))"
+
+
 def _draw(pending: DataFrame, cfg: Surrogates) -> DataFrame:
-    """``pending`` (kind, canon, attempt) with a surrogate."""
+    """``pending`` (kind, canon, attempt and, of e-mail addresses, ``host``: the surrogate of the domain) with a surrogate."""
     key = cfg.key
     rows = pending.withColumn("h", F.sha2(F.concat_ws("|", F.lit(key), "kind", "attempt", "canon").cast("binary"), 512))
-    rows = rows.withColumn("hd", F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index("canon", "@", -1)).cast("binary"), 512))
     octet = lambda i: f"cast({_byte('h', str(i))} % 254 + 1 AS string)"
-    local, domain = "substring_index(canon, '@', 1)", "substring_index(canon, '@', -1)"
-    tld = f"substring_index({domain}, '.', -1)"
-    labels = f"substr({domain}, 1, length({domain}) - length({tld}))"
+    local = "substring_index(canon, '@', 1)"
     card = _masked("substr(canon, 1, length(canon) - 1)", "h", keep=1)
     phone = f"CASE WHEN substr(canon, 1, 1) = '+' THEN {_masked('canon', 'h', keep=2)} ELSE {_masked('canon', 'h')} END"
     iban = f"concat(substr(canon, 1, 2), '00', {_masked('substr(canon, 5)', 'h')})"
@@ -152,12 +158,15 @@ def _draw(pending: DataFrame, cfg: Surrogates) -> DataFrame:
         "card": f"concat(base, cast((10 - {_luhn('concat(base, 0)')} % 10) % 10 AS string))",
         "iban": f"concat(substr(base, 1, 2), lpad(cast(98 - {_mod97('base')} AS string), 2, '0'), substr(base, 5))",
         "ip": f"concat_ws('.', {', '.join(map(octet, range(4)))})",
-        "email": f"concat({_masked(local, 'h')}, '@', {_masked(labels, 'hd')}, {tld})",
+        "email": f"concat({_masked(local, 'h')}, '@', host)",
+        "domain": f"concat({_masked(_LABELS, 'h')}, {_TLD})",
         "secret": f"CASE WHEN canon RLIKE '^[0-9a-f]+$' THEN {_hex('canon', 'h')} ELSE {_masked('canon', 'h')} END",
         "key": _masked("canon", "h", keep=4), "ssn": _masked("canon", "h"), "phone": phone,
     } | {k: _syllables(k, "h") for k in ("given_male", "given_female", "given_other", "surname")}
     cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in checked.items())
-    return rows.withColumn("surrogate", F.expr(f"CASE kind {cases} END")).drop("h", "hd", "base")
+    # place by place a text of n characters takes n * n steps; long secrets get their hash over and over
+    long = "substr(repeat(h, cast(length(canon) div 128 + 1 AS int)), 1, length(canon))"
+    return rows.withColumn("surrogate", F.expr(f"CASE WHEN length(canon) > {_LONG} THEN {long} ELSE CASE kind {cases} END END")).drop("h", "base")
 
 
 def _meets(rows: DataFrame, others: DataFrame, column: str, how: str) -> DataFrame:
@@ -185,9 +194,10 @@ def _formats(pending: DataFrame, cfg: Surrogates) -> DataFrame:
     hexes = f"transform(sequence(1, length(canon)), i -> '{_DIGITS}abcdef')"
     letters = f"""CASE WHEN kind = 'email' THEN {_letters("substring_index(canon, '@', 1)")} WHEN kind = 'ssn' THEN {_letters('canon')}
         WHEN kind = 'phone' THEN {_letters('canon', "(CASE WHEN substr(canon, 1, 1) = '+' THEN 2 ELSE 0 END)")}
+        WHEN kind = 'domain' THEN concat(array_repeat('{_DIGITS}', extra), {_letters(_LABELS)}, transform(sequence(1, length({_TLD})), i -> substr({_TLD}, i, 1)))
         WHEN kind = 'secret' AND canon RLIKE '^[0-9a-f]+$' THEN {hexes} WHEN kind = 'secret' THEN {_letters('canon')} END"""
     rows = _draw(pending, cfg).withColumn("tail", F.expr("CASE WHEN kind = 'email' THEN lower(concat('@', substring_index(surrogate, '@', -1))) ELSE '' END"))
-    rows = rows.withColumn("letters", F.expr(f"concat({letters}, array_repeat('{_DIGITS}', extra))"))
+    rows = rows.withColumn("letters", F.expr(f"concat({letters}, array_repeat('{_DIGITS}', CASE WHEN kind = 'domain' THEN 0 ELSE extra END))"))
     rows = rows.withColumn("space", F.expr("aggregate(letters, 1D, (s, x) -> s * length(x))"))
     return rows.withColumn("format", F.md5(F.concat_ws("|", "kind", "tail", F.lower(F.to_json("letters")))))
 
@@ -223,9 +233,16 @@ def _ranked(pending: DataFrame, taken: DataFrame, cfg: Surrogates) -> DataFrame:
 def assign(found: DataFrame, cfg: Surrogates = Surrogates()) -> DataFrame:
     """(kind, canon, surrogate) for the distinct (kind, canon) of ``found``: no two of a kind share a
     surrogate and none is a real entity of ``found``. Where a format has fewer codes than that takes, the
-    surrogates of some entities are a digit longer."""
+    surrogates of some entities are a digit longer. Domains of e-mail addresses are entities of their own: equal
+    ones get equal surrogates, different ones different ones."""
     real = cut(found.select("kind", "canon").distinct())
-    pending, done, turns = real.withColumns({"attempt": F.lit(0), "extra": F.lit(0)}), None, 0
+    domain = F.when(F.col("kind") == "email", F.substring_index("canon", "@", -1))
+    domains = real.select(F.lit("domain").alias("kind"), domain.alias("canon")).filter("canon IS NOT NULL").distinct()
+    pending = real.withColumns({"attempt": F.lit(0), "extra": F.lit(0), "host": F.lit(None).cast("string")})
+    if not domains.isEmpty():
+        hosts = cut(assign(domains, cfg)).select(F.col("canon").alias("was"), F.col("surrogate").alias("now"))
+        pending = cut(pending.withColumn("was", domain).join(hosts, "was", "left").withColumn("host", F.col("now")).drop("was", "now"))
+    done, turns = None, 0
     while True:
         if turns < cfg.rounds:
             drawn = _draw(pending, cfg)
@@ -251,26 +268,40 @@ def assign(found: DataFrame, cfg: Surrogates = Surrogates()) -> DataFrame:
         pending = rest
 
 
+def _settled(parts: DataFrame) -> DataFrame:
+    """``parts`` with one kind for each given name: the gender that its titles agree on, else neither."""
+    given = parts.filter(F.col("kind").startswith("given_")).groupBy("canon").agg(
+        F.bool_or(F.col("kind") == "given_male").alias("male"), F.bool_or(F.col("kind") == "given_female").alias("female"))
+    kind = F.when(F.col("male") & ~F.col("female"), "given_male").when(F.col("female") & ~F.col("male"), "given_female").otherwise("given_other")
+    given = given.select(F.col("canon").alias("_name"), kind.alias("_kind"))
+    joined = parts.join(given, F.col("kind").startswith("given_") & (F.col("canon") == F.col("_name")), "left")
+    return joined.withColumn("kind", F.coalesce("_kind", "kind")).drop("_name", "_kind")
+
+
 def replacements(raw: DataFrame, cfg: Surrogates = Surrogates()) -> DataFrame:
-    """(raw, new) for distinct entities as written. Digits and letters of a surrogate fill the places that
-    the entity has for them, so separators stay; capital spelling stays with e-mail addresses."""
+    """(raw, new, names) for distinct entities as written; ``names`` has each word of a name with its surrogate.
+    Digits and letters of a surrogate fill the places that the entity has for them, so separators stay; capital
+    spelling stays with e-mail addresses."""
     read = cut(parsed(raw))
-    parts = read.select("raw", "head", F.posexplode("parts").alias("at", "part")).select("raw", "head", "at", "part.*")
+    parts = cut(_settled(read.select("raw", "head", F.posexplode("parts").alias("at", "part")).select("raw", "head", "at", "part.*")))
     joined = parts.join(assign(parts, cfg), ["kind", "canon"])
     filled = F.expr(r"""aggregate(sequence(1, length(written)), struct('' AS out, 1 AS n), (s, i) ->
         CASE WHEN substr(written, i, 1) RLIKE '[^ ().-]' THEN struct(concat(s.out, substr(surrogate, s.n, 1)) AS out, s.n + 1 AS n)
         ELSE struct(concat(s.out, substr(written, i, 1)) AS out, s.n AS n) END, s -> concat(s.out, substr(surrogate, s.n)))""")
     shape = F.when(F.col("kind").isin("card", "iban", "ssn", "phone"), filled).when(
         (F.col("kind") == "email") & (F.col("written") == F.upper("written")), F.upper("surrogate")).otherwise(F.col("surrogate"))
-    new = joined.select("raw", "head", F.struct("at", shape.alias("text")).alias("p")).groupBy("raw", "head").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    return new.select("raw", F.concat("head", F.array_join(F.col("ps.text"), " ")).alias("new"))
+    word = F.when(F.col("kind").startswith("given_") | (F.col("kind") == "surname"), F.struct(F.col("written").alias("real"), F.col("surrogate").alias("alias")))
+    new = joined.select("raw", "head", F.struct("at", shape.alias("text")).alias("p"), word.alias("w")).groupBy("raw", "head").agg(
+        F.array_sort(F.collect_list("p")).alias("ps"), F.collect_list("w").alias("names"))
+    return new.select("raw", F.concat("head", F.array_join(F.col("ps.text"), " ")).alias("new"), "names")
 
 
 def pseudonymised(docs: DataFrame, cfg: Surrogates = Surrogates()) -> DataFrame:
     """``docs`` with surrogates in ``text``, ``n_replaced`` added and, where there is one, ``n_chars`` brought up
     to date; all other columns pass through (names that begin with ``_pii_`` are reserved).
 
-    Null and empty texts, and texts without an entity, stay as they are with n_replaced 0; repeated rows
+    ``n_replaced`` counts entities; names of a document that recur in it without a title are replaced but not
+    counted. Null and empty texts, and texts without an entity, stay as they are with n_replaced 0; repeated rows
     change alike; an empty table gives an empty result. Texts without an entity are never shuffled; equal
     texts are read for entities once.
     """
@@ -281,10 +312,14 @@ def pseudonymised(docs: DataFrame, cfg: Surrogates = Surrogates()) -> DataFrame:
     lists = cut(with_any.select("_pii_text", "_pii_found").dropDuplicates(["_pii_text"]))
     spread = lists.select("_pii_text", F.posexplode("_pii_found").alias("at", "raw"))
     new = cut(replacements(spread.select("raw").distinct(), cfg))
-    told = spread.join(new, "raw", "left").select("_pii_text", F.struct("at", F.coalesce("new", "raw").alias("new"), F.col("new").isNotNull().alias("hit")).alias("e"))
-    told = told.groupBy("_pii_text").agg(F.array_sort(F.collect_list("e")).alias("_pii_new"))
+    told = spread.join(new, "raw", "left").select("_pii_text", F.struct("at", F.coalesce("new", "raw").alias("new"), F.col("new").isNotNull().alias("hit")).alias("e"), "names")
+    told = told.groupBy("_pii_text").agg(
+        F.array_sort(F.collect_list("e")).alias("_pii_new"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("_pii_names"))
     changed = with_any.join(told, "_pii_text")
+    # what lies between entities; names of the document that recur there without a title get their surrogates too
+    again = lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{M}'’-])"), n["real"], F.lit(r"(?![\p{L}\p{M}])")), n["alias"])
     between = F.split("text", PATTERN, -1)
+    between = F.when(F.size("_pii_names") > 0, F.transform(between, lambda t: F.aggregate("_pii_names", t, again))).otherwise(between)
     text = F.concat(between[0], F.array_join(F.zip_with(F.col("_pii_new.new"), F.slice(between, 2, F.size("_pii_new")), lambda a, b: F.concat(a, b)), ""))
     count = F.size(F.filter(F.col("_pii_new.hit"), lambda x: x)).cast("long")
     changed = changed.withColumn("n_replaced", count).withColumn("text", text)

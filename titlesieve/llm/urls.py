@@ -44,7 +44,8 @@ RULES = (
 @dataclass(frozen=True)
 class LinkTrust:
     damping: float = 0.85
-    rounds: int = 15
+    moved: float = 1e-9  # of each flow's total of 1, the mass still on its way when it is left
+    joined: int = 4  # steps in one plan
     tolerance: float = 1.0  # distrust above this many times the trust blocks a host
 
 
@@ -103,7 +104,8 @@ def target_seeds(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFr
 
 def propagate(seeds: DataFrame, links: DataFrame, cfg: LinkTrust) -> DataFrame:
     """(host, trust, distrust). ``seeds`` has host, allowed and blocked (pages and link targets that rules allow or block);
-    ``links`` as above. Each flow starts with a total of 1 on its seeds; hosts without links pass nothing on."""
+    ``links`` as above. Each flow starts with a total of 1 on its seeds, keeps (1 - damping) of what arrives and
+    passes the rest on, until less than ``moved`` is on its way; hosts without links pass nothing on."""
     flows = []
     for kind, start, end in (("trust", "source", "target"), ("distrust", "target", "source")):
         all_ = links.groupBy(F.col(start).alias("start")).agg(F.sum("links").alias("total"))
@@ -115,21 +117,31 @@ def propagate(seeds: DataFrame, links: DataFrame, cfg: LinkTrust) -> DataFrame:
     known = seeds.select(
         "host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), share("allowed", "trust").alias("seed")),
                                   F.struct(F.lit("distrust").alias("kind"), share("blocked", "distrust").alias("seed")))).alias("s"))
-    ends = flow.select("kind", F.col("end").alias("host")).distinct()
-    scores = known.select("s.kind", "host", "s.seed").join(ends, ["kind", "host"], "full")
-    scores = cut(scores.select("kind", "host", F.coalesce("seed", F.lit(0.0)).alias("seed")).withColumn("score", F.col("seed")))
-    if not flow.isEmpty():
-        for i in range(cfg.rounds):
-            came = scores.join(flow, (scores["kind"] == flow["kind"]) & (scores["host"] == flow["start"]))
-            came = came.groupBy(flow["kind"], F.col("end").alias("host")).agg(F.sum(F.col("score") * F.col("part")).alias("came"))
-            scores = scores.join(came, ["kind", "host"], "left").select(
-                "kind", "host", "seed",
-                ((1 - cfg.damping) * F.col("seed") + cfg.damping * F.coalesce("came", F.lit(0.0))).alias("score"))
-            scores = cut(scores)
-    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k)
+    # what stays on a host at each step is its score's next part, the rest is on its way along the links
+    way = cut(known.select("s.kind", "host", ((1 - cfg.damping) * F.col("s.seed")).alias("mass")).filter("mass > 0"))
+    parts = [way]
+    while not flow.isEmpty():
+        for _ in range(cfg.joined):
+            came = way.join(flow.withColumnRenamed("start", "host"), ["kind", "host"])
+            came = came.groupBy("kind", F.col("end").alias("host")).agg(F.sum(F.col("mass") * F.col("part")).alias("came"))
+            way = came.select("kind", "host", (cfg.damping * F.col("came")).alias("mass"))
+            parts.append(way)
+        way = cut(way)
+        parts = [cut(_summed(parts[:-1]).unionByName(way))]
+        if (way.groupBy("kind").agg(F.sum("mass").alias("left")).agg(F.max("left")).first()[0] or 0.0) <= cfg.moved:
+            break
+    scores = _summed(parts)
+    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0)).alias(k)
     return scores.groupBy("host").agg(of("trust"), of("distrust"))
 
 
+def _summed(parts: list[DataFrame]) -> DataFrame:
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.unionByName(p)
+    return all_.groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+
+
 def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, cfg: LinkTrust = LinkTrust()) -> DataFrame:
     """One row for each row of ``pages`` (page_id, url, html; nothing else is read): page_id, host, path, rule,
     verdict, trust and distrust of the host.
