@@ -16,7 +16,7 @@ from ..operators import clusters, decisions, exact, fuzzy, knn
 from ..session import cut_lineage, ship_package
 from ..sources.store import TitleStore
 from .derived import read_derived
-from .requests import split_requests, with_violations
+from .requests import split_requests, with_defaults
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ def ranked_candidates(prepared: DataFrame, library: Library, cfg: ScreeningConfi
 def screen(proposals: DataFrame, library: Library, cfg: ScreeningConfig = ScreeningConfig()) -> DataFrame:
     """One verdict per proposal (proposal_id, title, domain, embedding, ...), missing domains and languages by
     their defaults. Nothing is rejected here: requests from outside go through :func:`verify`."""
-    return verdicts_of(prepare_proposals(with_violations(proposals).drop("violations"), library, cfg), library, cfg)
+    return verdicts_of(prepare_proposals(with_defaults(proposals), library, cfg), library, cfg)
 
 
 def verify(requests: DataFrame, library: Library, cfg: ScreeningConfig = ScreeningConfig()) -> tuple[DataFrame, DataFrame]:
