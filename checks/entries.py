@@ -19,7 +19,8 @@ from titlesieve.plans import index, ingest, requests, screen, status, submit
 from titlesieve.plans.validate import profile_report
 from titlesieve.session import compute_tasks, ensure_checkpoint_dir, ship_package
 from titlesieve.sources.reports import flatten_nested
-from titlesieve.sources.sheets import read_sheet
+from titlesieve.sources.schemas import RAW_COLUMNS
+from titlesieve.sources.sheets import MISSING_CELLS, read_sheet
 from titlesieve.sources.store import TitleStore
 
 from . import sql, views
@@ -247,7 +248,12 @@ def store_reload_and_append(spark, sf):
     return store.read("corpus").select("id", "title", "record_status")
 
 
-@register(sql.query("SELECT doc_id::VARCHAR AS doc_id, titles, description, domain, contact_info FROM sheet", sql.SHEET))
+def _cell_sql(c: str) -> str:
+    """A cell as scanned: the spellings of a missing one are null."""
+    return f"CASE WHEN {c} NOT IN (" + ", ".join(f"'{m}'" for m in MISSING_CELLS) + f") THEN {c} END AS {c}"
+
+
+@register(sql.query("SELECT doc_id::VARCHAR AS doc_id, " + ", ".join(map(_cell_sql, RAW_COLUMNS)) + " FROM sheet", sql.SHEET))
 def sheet_scan(spark, sf):
     """The raw table written as CSV under untidy headers and scanned back."""
     import uuid
@@ -614,9 +620,12 @@ def cluster_sizes(spark, sf):
 SELECT CASE WHEN count(*) > 0 THEN 'healthy' ELSE 'degraded' END AS status, count(*) > 0 AS index_loaded,
        count(*) AS vector_count, count(DISTINCT id) = count(*) AS ids_unique,
        count(*) FILTER (id NOT IN (SELECT id FROM corpus)) AS orphan_vectors,
-       (SELECT count(*) FROM centroids) AS cluster_count FROM vectors""", sql.BASE))
+       (SELECT count(*) FROM centroids) AS cluster_count, 'hashing-tf-idf' AS embedding_model FROM vectors""", sql.BASE))
 def index_health(spark, sf):
-    return status.index_health(views.corpus(spark, sf), views.vectors(spark, sf), views.centroids(spark, sf))
+    """Without the time of the report, which no two runs share."""
+    vectors = views.vectors(spark, sf)
+    meta = index.index_meta(vectors, HashingEncoder.name, 64, {"model": HashingEncoder.name})
+    return status.index_health(views.corpus(spark, sf), vectors, views.centroids(spark, sf), meta).drop("checked_at")
 
 
 @register(sql.query("""

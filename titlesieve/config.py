@@ -41,6 +41,12 @@ class ScreeningConfig:
     corpus_block_rows: int = 65_536
     proposal_block_rows: int = 32_768
     title_block_rows: int = 16_384
+    # characters of the titles of one side of a block, and cells of the matrices made of them at a time
+    title_block_chars: int = 8_000_000
+    title_matrix_cells: int = 2_000_000
+    # a normal form on more rows of a side is dealt over several tasks; so many such forms may be broadcast
+    hot_form_rows: int = 1_024
+    most_broadcast_forms: int = 100_000
     # a batch of at most so many proposals goes to the corpus; the corpus then is scanned, not shuffled
     small_batch_rows: int = 1_024
     # tables derived from the corpus: folders of the table by normal form

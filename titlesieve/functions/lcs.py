@@ -157,6 +157,25 @@ def indel_scores(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     return np.where(total > 0, (1.0 - gap / np.maximum(total, 1.0)) * 100.0, 100.0)
 
 
+def length_bands(titles: Sequence[str], cells: int) -> list[np.ndarray]:
+    """Row numbers in bands by length. The matrices of a band, as wide as its longest title and as wide as the
+    alphabet, hold at most ``cells`` and four times as many cells, unless a single title has more."""
+    lengths = np.fromiter(map(len, titles), dtype=np.int64, count=len(titles))
+    order = np.argsort(lengths, kind="stable")
+    alphabet: set[str] = set()
+    for t in titles:
+        alphabet.update(t)
+    most = max(4 * cells // (len(alphabet) + 1), 1)
+    bands, start = [], 0
+    while start < len(order):
+        ahead = lengths[order[start:start + most]]
+        fits = np.arange(1, len(ahead) + 1) * ahead <= cells  # falls once: the longer, the fewer
+        stop = start + max(int(fits.sum()), 1)
+        bands.append(np.sort(order[start:stop]))
+        start = stop
+    return bands
+
+
 class TitleBlock:
     """A bounded block of corpus titles prepared once and scored against many proposals."""
 

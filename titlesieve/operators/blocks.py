@@ -4,6 +4,7 @@ meeting once in one Arrow cogroup. Rows of a block pair never leave it except as
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,16 +12,33 @@ from pyspark.sql import functions as F
 from ..session import compute_tasks
 
 
-def grid(left: DataFrame, right: DataFrame, cell: str, left_rows: int, right_rows: int) -> DataFrame:
+@dataclass(frozen=True)
+class Chars:
+    """Text columns of the two sides and how many characters of them a block may hold."""
+
+    left: str
+    right: str
+    most: int
+
+    def blocks(self, column: str) -> Column:
+        return F.ceil(F.coalesce(F.sum(F.length(column)), F.lit(0)) / self.most)
+
+
+def grid(
+    left: DataFrame, right: DataFrame, cell: str, left_rows: int, right_rows: int, chars: Chars | None = None
+) -> DataFrame:
     """(cell, blocks of the left side, blocks of the right side) for cells present on both sides.
     The left side, whose rows are searched one by one in a prepared right block, is cut finer than
-    its limit, down to a fraction of it, while that feeds idle cores."""
+    its limit, down to a fraction of it, while that feeds idle cores. Long texts ask for more blocks."""
     cores = left.sparkSession.sparkContext.defaultParallelism
     n = F.count("*")
     fine = F.greatest(F.least(F.ceil(n / cores), F.lit(left_rows)), F.lit(max(left_rows // 64, 1)))
+    of_left, of_right = F.ceil(n / fine), F.ceil(n / right_rows)
+    if chars is not None:
+        of_left, of_right = F.greatest(of_left, chars.blocks(chars.left)), F.greatest(of_right, chars.blocks(chars.right))
     return (
-        left.groupBy(cell).agg(F.ceil(n / fine).cast("int").alias("_left_blocks"))
-        .join(right.groupBy(cell).agg(F.ceil(n / right_rows).cast("int").alias("_right_blocks")), cell)
+        left.groupBy(cell).agg(of_left.cast("int").alias("_left_blocks"))
+        .join(right.groupBy(cell).agg(of_right.cast("int").alias("_right_blocks")), cell)
     )
 
 
@@ -46,6 +64,7 @@ def block_product(
     right_rows: int,
     kernel: Callable,
     schema: str,
+    chars: Chars | None = None,
 ) -> DataFrame:
     """Run ``kernel(left_table, right_table)`` on every pair of blocks within a cell.
 
@@ -53,7 +72,7 @@ def block_product(
     holding a third of the table becomes many groups, none above the block size. The grid has one
     row per cell and callers bound the number of cells, which makes it safe to broadcast.
     """
-    plan = F.broadcast(grid(left, right, cell, left_rows, right_rows))
+    plan = F.broadcast(grid(left, right, cell, left_rows, right_rows, chars))
     n_left, n_right = F.col("_left_blocks"), F.col("_right_blocks")
     cut_left = left.join(plan, cell).withColumn("_lb", _block(left_key, n_left)).withColumn("_rb", _spread(n_right))
     cut_right = right.join(plan, cell).withColumn("_rb", _block(right_key, n_right)).withColumn("_lb", _spread(n_left))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import USABLE_STATUSES, ScreeningConfig
+from ..session import cut_lineage
 from . import bloom
 
 
@@ -13,12 +14,46 @@ def usable(corpus: DataFrame) -> DataFrame:
     return corpus.filter(F.col("record_status").isin(*USABLE_STATUSES))
 
 
-def exact_pairs(proposals: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Every (proposal_id, id) with equal normal forms, the empty one included.
-    The listing itself; screening uses :func:`exact_heads`, which never spells the pairs out."""
-    return proposals.select("proposal_id", "normalized_title").join(
-        usable(corpus).select("id", "normalized_title"), "normalized_title"
-    )
+def exact_pairs(proposals: DataFrame, corpus: DataFrame, cfg: ScreeningConfig = ScreeningConfig()) -> DataFrame:
+    """Every (proposal_id, id) with equal normal forms, the empty one included; a null form equals none.
+    The listing itself; screening uses :func:`exact_heads`, which never spells the pairs out.
+
+    A form that more than ``hot_form_rows`` rows of a side carry is dealt over a grid: its rows go to one line or
+    column of it by the hash of their id and are copied along that line, so each pair meets in exactly one cell
+    and no task has more than a cell's pairs of it, about the square of ``hot_form_rows``."""
+    left = proposals.select("proposal_id", "normalized_title").filter(F.col("normalized_title").isNotNull())
+    right = usable(corpus).select("id", "normalized_title").filter(F.col("normalized_title").isNotNull())
+    grid = cut_lineage(hot_forms(left, right, cfg.hot_form_rows))
+    hot = grid.limit(cfg.most_broadcast_forms + 1).count()
+    if hot == 0:
+        return left.join(right, "normalized_title").select("normalized_title", "proposal_id", "id")
+    if hot <= cfg.most_broadcast_forms:  # three numbers a row
+        grid = F.broadcast(grid)
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        found = rows.withColumn("_form", _form()).join(grid, "_form", "left").fillna(1, ["_lines", "_columns"])
+        return found.select(
+            key, "normalized_title", F.pmod(F.xxhash64(key), F.col(own)).alias(own + "_at"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other + "_at"),
+        )
+
+    at = ["normalized_title", "_lines_at", "_columns_at"]
+    pairs = dealt(left, "proposal_id", "_lines", "_columns").join(dealt(right, "id", "_columns", "_lines"), at)
+    return pairs.select("normalized_title", "proposal_id", "id")
+
+
+def _form() -> Column:
+    return F.xxhash64("normalized_title")
+
+
+def hot_forms(left: DataFrame, right: DataFrame, rows: int) -> DataFrame:
+    """(_form, _lines, _columns): the grid of every normal form, named by its hash, that both sides have and one
+    of them more than ``rows`` times. Forms of equal hash share a grid, which only cuts them finer."""
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(_form().alias("_form")).agg(F.ceil(F.count("*") / rows).alias(name))
+
+    both = counted(left, "_lines").join(counted(right, "_columns"), "_form")
+    return both.filter((F.col("_lines") > 1) | (F.col("_columns") > 1))
 
 
 def title_heads(corpus: DataFrame, rows: int) -> DataFrame:

@@ -115,7 +115,7 @@ def all_candidates(prepared: DataFrame, library: Library, cfg: ScreeningConfig)
         clustered = len(ids) > 0
     semantic = knn.nearest_neighbours(prepared, library.vectors, cfg.vector_fetch, cfg, model)
     lexical = fuzzy.fuzzy_hits(*fuzzy.scope(prepared, library.corpus, cfg, clustered), cfg)
-    merged = cand.merge_passes(semantic, lexical, exact.exact_pairs(prepared, library.corpus))
+    merged = cand.merge_passes(semantic, lexical, exact.exact_pairs(prepared, library.corpus, cfg))
     return cand.admit(cand.attach_records(merged, library.corpus, prepared), cfg)
 
 

@@ -10,6 +10,7 @@ from ..operators.ordinal import with_running_counts
 from ..operators.rows import one_row
 from ..session import cut_lineage
 from ..sources.reports import write_report
+from ..sources.store import TitleStore
 
 LATENCY_TARGET_MS = 500.0
 
@@ -28,8 +29,9 @@ BENCHMARK_TITLES = (
 )
 
 
-def index_health(corpus: DataFrame, vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """One row: sizes, consistency of the index with itself and with the corpus, overall status."""
+def index_health(corpus: DataFrame, vectors: DataFrame, centroids: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """One row: sizes, consistency of the index with itself and with the corpus, overall status, the name of the
+    encoder as the index's ``meta`` has it (null without) and the time of the report."""
     index = vectors.agg(
         F.count("*").alias("vector_count"),
         F.count_distinct("position").alias("positions"),
@@ -37,17 +39,28 @@ def index_health(corpus: DataFrame, vectors: DataFrame, centroids: DataFrame) ->
     )
     orphans = vectors.join(corpus.select("id"), "id", "left_anti").agg(F.count("*").alias("orphan_vectors"))
     clusters = centroids.agg(F.count("*").alias("cluster_count"))
+    if meta is None:
+        named = clusters.select(F.lit(None).cast("string").alias("embedding_model"))
+    else:
+        named = meta.agg(F.max_by("model_name", "updated_at").alias("embedding_model"))
     loaded = (F.col("vector_count") > 0) & (F.col("positions") == F.col("vector_count"))
-    return one_row(index, orphans, clusters).select(
+    return one_row(index, orphans, clusters, named).select(
         F.when(loaded, "healthy").otherwise("degraded").alias("status"),
         loaded.alias("index_loaded"),
         "vector_count",
         (F.col("ids") == F.col("vector_count")).alias("ids_unique"),
         "orphan_vectors",
         "cluster_count",
+        "embedding_model",
+        F.current_timestamp().alias("checked_at"),
     )
 
 
+def store_health(store: TitleStore) -> DataFrame:
+    """:func:`index_health` of a store's current versions; a store without an index is degraded."""
+    return index_health(*[store.read(t) for t in ("corpus", "vectors", "centroids", "index_meta")])
+
+
 def corpus_statistics(corpus: DataFrame) -> DataFrame:
     """Rows per domain, cluster, status and language in one pass: (dimension, value, rows)."""
     facts = F.array(*[

@@ -8,32 +8,50 @@ from pyspark.sql import functions as F
 
 from .schemas import RAW_COLUMNS
 
+# Cells that a spreadsheet reader takes for missing, compared as written.
+MISSING_CELLS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 
 def clean_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
 
 
-def read_sheet(spark: SparkSession, path: str, fmt: str = "csv", **options: str) -> DataFrame:
-    """Scan a file set as text columns with trimmed, lower-cased headers. Values are kept as
-    written: nothing is inferred."""
+def read_sheet(
+    spark: SparkSession, path: str, fmt: str = "csv", missing: tuple[str, ...] | None = None, **options: str
+) -> DataFrame:
+    """Scan a file set as text columns with trimmed, lower-cased headers. Cells spelt as one of ``missing`` are
+    null, all others are kept as written: nothing is inferred. Formats that know nulls of their own (all but csv)
+    have no such spellings unless they are given."""
+    if missing is None:
+        missing = MISSING_CELLS if fmt == "csv" else ()
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.options(header=True, inferSchema=False, quote='"', escape='"')
     if fmt == "json":
         reader = reader.options(primitivesAsString=True)
     df = clean_headers(reader.options(**options).load(path))
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+
+    def cell(name: str):
+        text = F.col(f"`{name}`").cast("string")
+        return F.when(~text.isin(*missing), text) if missing else text
+
+    return df.select(*[cell(c).alias(c) for c in df.columns])
 
 
 def missing_columns(df: DataFrame) -> list[str]:
     return [c for c in RAW_COLUMNS if c not in df.columns]
 
 
-def open_sheet(spark: SparkSession, path: str, fmt: str = "csv", **options: str) -> tuple[DataFrame | None, dict]:
+def open_sheet(
+    spark: SparkSession, path: str, fmt: str = "csv", missing: tuple[str, ...] | None = None, **options: str
+) -> tuple[DataFrame | None, dict]:
     """The sheet, or None with the state of the checks that ended the scan early."""
     state = {"file_exists": False, "sheet_exists": False, "columns_valid": False, "errors": []}
     try:
-        df = read_sheet(spark, path, fmt, **options)
+        df = read_sheet(spark, path, fmt, missing, **options)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             state["errors"].append(f"Dataset file not found at: {path}")
