@@ -20,7 +20,7 @@ from titlesieve.plans.validate import profile_report
 from titlesieve.session import compute_tasks, ensure_checkpoint_dir, ship_package
 from titlesieve.sources.reports import flatten_nested
 from titlesieve.sources.schemas import RAW_COLUMNS
-from titlesieve.sources.sheets import MISSING_CELLS, read_sheet
+from titlesieve.sources.sheets import MISSING_CELLS, POSITION, read_positioned, read_sheet
 from titlesieve.sources.store import TitleStore
 
 from . import sql, views
@@ -264,6 +264,18 @@ def sheet_scan(spark, sf):
     return read_sheet(spark, path)
 
 
+@register(sql.query("""
+SELECT doc_id::VARCHAR AS doc_id, row_number() OVER (ORDER BY doc_id) + 1 AS source_row_number FROM sheet""", sql.SHEET))
+def scanned_source_rows(spark, sf):
+    """Row numbers from the files alone: the raw table in several CSV files, each read in several blocks."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark)}/sheet-{uuid.uuid4().hex}"
+    ordered = views.sheet(spark, sf).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")
+    ordered.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return ingest.with_source_rows(read_positioned(spark, path), POSITION).select("doc_id", "source_row_number")
+
+
 # ---------------------------------------------------------------- filters, requests, updates
 
 @register(sql.query("SELECT id, title, record_status FROM usable", sql.BASE))
