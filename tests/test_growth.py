@@ -104,6 +104,10 @@ def test_bands_do_not_change_the_best_titles():
         assert all(abs(a[0] - b[0]) < 1e-9 for a, b in zip(mine, scored))
 
 
+def test_a_side_of_a_block_may_be_empty():
+    assert hits(HOT, ["climate news"], []) == hits(HOT, [], ["climate news"]) == hits(HOT, [], []) == []
+
+
 def test_a_title_of_a_million_characters():
     rnd = random.Random(2)
     words = [f"w{i}" for i in range(4_000)]
