@@ -5,6 +5,7 @@ from random import Random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from test_documents import linked
 
 from titlesieve.llm import neardup, shingles
@@ -83,3 +84,17 @@ def test_pieces_of_a_batch_are_bounded():
     batch = pa.RecordBatch.from_arrays([pa.array(["x" * 3_000_000] * 5 + [None, ""] + ["y"] * 4)], names=["text"])
     pieces = list(shingles.sliced(iter([batch]), "text"))
     assert sum(p.num_rows for p in pieces) == batch.num_rows and [p.num_rows for p in pieces] == [1, 1, 1, 1, 7]
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 0])
+def test_one_document_of_each_group_stays(docs, monkeypatch, bits):
+    """By brute force, with and without the filter that leaves settled documents in place."""
+    monkeypatch.setattr(neardup, "_MOST_SIEVE_BITS", bits)
+    r = Random(9)
+    rows = family(40, 5) + [(100 + i, " ".join(r.choices("abcdefgh", k=30))) for i in range(20)]
+    rows += [(i + 200, t) for i, t in rows[:15]] + rows[50:56] + [(300, ""), (300, ""), (301, None), (302, " \t\n")]
+    cfg = neardup.NearDup(words=4)
+    want = Counter({(i, t): 1 for (i, t), (_, n, c) in zip(rows, linked(rows)) if n and i == c})
+    want += Counter((i, t) for i, t in rows if not (t or "").split())
+    got = neardup.deduplicated(docs([(i, t, "en", "s") for i, t in rows]), cfg).collect()
+    assert Counter((x["doc_id"], x["text"]) for x in got) == want

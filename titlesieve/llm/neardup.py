@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bloom
 from ..session import compute_tasks
-from .common import cut, words
+from .common import cut
 from .components import components
 from .shingles import mix, shingle_sets, sliced
 
@@ -363,10 +363,25 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
 def deduplicated(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
     """``docs`` with one row of each component: of the class of its smallest doc_id, that document, once. Documents
     without words stay. Columns beginning with ``_nd_`` are reserved."""
-    _, placed = classes_of(docs, cfg)
+    signed, placed = classes_of(docs, cfg)
     chosen = placed.filter(F.col("rep").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("key", "rep", "mark")).alias("c"))
-    chosen = chosen.select(F.col("c.rep").alias("_nd_rep"), F.col("c.mark").alias("_nd_was"))
-    marked = docs.withColumn("_nd_mark", _mark())
-    copies = marked.join(chosen, marked["doc_id"].eqNullSafe(chosen["_nd_rep"]) & (marked["_nd_mark"] == chosen["_nd_was"]), "left_semi")
-    empty = docs.filter(F.size(words(F.col("text"))) == 0)
-    return copies.dropDuplicates(["doc_id", "_nd_mark"]).select(*docs.columns).unionByName(empty)
+    chosen = chosen.select(F.col("c.rep").alias("_nd_rep"), _row_key(F.col("c.rep"), F.col("c.mark")).alias("_nd_key"))
+    # a document whose id no other row has stays where it is if it was chosen; only the others meet the choice
+    ids = signed.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"))
+    ids = ids.join(chosen.select(F.col("_nd_rep").alias("doc_id")), "doc_id", "left_anti").filter("size > 0").select("doc_id").unionByName(
+        ids.filter("n > 1").select("doc_id"))
+    ids = cut(ids)
+    sieve = bloom.build(ids, "doc_id", ids.count(), _SIEVE_BITS, _MOST_SIEVE_BITS)
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(_IN_WORD)
+    moves = worded if sieve is None else worded & (F.col("doc_id").isNull() | sieve.may_hold(F.col("doc_id")))
+    # the key of the choice is that of the copies too: their texts are shuffled once
+    copies = docs.filter(moves).withColumn("_nd_key", _row_key(F.col("doc_id"), _mark())).join(chosen.select("_nd_key"), "_nd_key", "left_semi")
+    return docs.filter(~moves).unionByName(copies.dropDuplicates(["_nd_key"]).select(*docs.columns))
+
+
+_IN_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _row_key(doc_id: Column, mark: Column) -> Column:
+    """One value for an id, null included, and a text."""
+    return F.concat_ws("/", mark, doc_id.cast("string"))
