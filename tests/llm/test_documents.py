@@ -332,3 +332,14 @@ def test_shards(docs, awkward):
     assert Counter((g["doc_id"], g["size"], g["text_crc32"]) for g in got) == want
     assert sharding.op10(awkward).count() == awkward.count() and sharding.op10(docs([])).count() == 0
     assert sharding.shards_for(docs(rows), 10**5) == -(-sum(load.values()) // 10**5)
+
+
+def test_stages_keep_columns_named_like_their_own(docs):
+    """Names that once were the operators' own."""
+    rows = docs([(i, " ".join(f"w{i}x{k}" for k in range(i + 1)), "en", "ab"[i % 2]) for i in range(12)])
+    extra = rows.withColumn("_copies", F.lit(5)).withColumn("_time", F.lit(7)).withColumn("_key", F.lit(9)).withColumn("_id", F.lit(3))
+    for stage in (mixing.mixture, neardup.deduplicated):
+        got = stage(extra)
+        assert got.columns == extra.columns
+        assert Counter(x["doc_id"] for x in got.collect()) == Counter(x["doc_id"] for x in stage(rows).collect())
+        assert got.select("_copies", "_time", "_key", "_id").distinct().collect() == [(5, 7, 9, 3)]

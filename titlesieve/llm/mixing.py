@@ -134,12 +134,12 @@ def mix(docs: DataFrame, cfg: Mixing = Mixing()) -> DataFrame:
 
 def mixture(docs: DataFrame, cfg: Mixing = Mixing()) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``mix`` uses it. Rows equal in doc_id and text are
-    all used as often as the most used of them."""
+    all used as often as the most used of them. Columns beginning with ``_mix_`` are reserved."""
     used = mix(docs, cfg).filter("copies > 0").groupBy("doc_id", "mark").agg(F.max("copies").alias("copies"))
-    used = used.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("copies").alias("_copies"))
-    hit = docs.join(used, docs["doc_id"].eqNullSafe(used["_id"]) & (F.xxhash64(docs["text"]) == used["_mark"]))
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return hit.select(*[docs[c] for c in docs.columns], times.alias("_time")).select(*docs.columns)
+    used = used.select(F.col("doc_id").alias("_mix_id"), F.col("mark").alias("_mix_mark"), F.col("copies").alias("_mix_copies"))
+    hit = docs.join(used, docs["doc_id"].eqNullSafe(used["_mix_id"]) & (F.xxhash64(docs["text"]) == used["_mix_mark"]))
+    times = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))
+    return hit.select(*[docs[c] for c in docs.columns], times.alias("_mix_time")).select(*docs.columns)
 
 
 def op3(docs: DataFrame) -> DataFrame:
