@@ -23,29 +23,38 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear, with ``lang`` as predicted. The dictionaries come from the labelled
-    rows that are not held out."""
+    rows that are not held out.
+
+    Null texts and texts without a letter have no clear language and go, and so does every row where nothing can be
+    learned; repeated rows are judged alike; an empty table gives an empty one. ``_stage_language`` is reserved."""
     model = langid.fit(docs.filter(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))))
-    told = langid.predict(docs, model, out="_language").filter("NOT _language.rejected")
-    return told.withColumn("lang", F.col("_language.lang_pred")).select(*docs.columns)
+    told = langid.predict(docs, model, out="_stage_language").filter("NOT _stage_language.rejected")
+    return told.withColumn("lang", F.col("_stage_language.lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words a shingle, a similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five words a shingle, a similarity of 0.8 or more.
+
+    Documents without words all stay; of repeated rows with words one stays; the smallest doc_id of a group stands for it,
+    a null one only where all are null; an empty table gives an empty one. Names beginning with ``_nd_`` are reserved."""
     return neardup.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data and ``n_chars`` of the new text."""
+    """All documents, with surrogates for personal data and ``n_chars`` of the new text. Null and empty texts stay as they are,
+    repeated rows change alike, an empty table gives an empty one. Names beginning with ``_pii_`` are reserved."""
     return pii.pseudonymised(docs).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix uses them."""
+    """Documents as often as the mix uses them. A null source is a source of its own; rows equal in doc_id and text
+    are used alike; an empty table gives an empty one. Names beginning with ``_mix_`` are reserved."""
     return mixing.mixture(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the ids of each whole text; ``decodes`` tells that they give it back."""
+    """doc_id, lang, source, n_tokens and the ids of each whole text; ``decodes`` tells that they give it back.
+    Null and empty texts have no ids and give back the empty text; repeated rows repeat; other columns are left out."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern)
     told = encoded.select("doc_id", "lang", "source", "ids", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("was"))
