@@ -66,3 +66,25 @@ def test_counts_of_very_long_titles_do_not_wrap():
     assert TitleBlock(["a" * 65_600 + "b", "short"], np.arange(2)).bag.max() == 65_600
     many = " ".join(f"t{i}" for i in range(33_000))
     assert TitleBlock([many], np.arange(1)).owner.max() == 32_999
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(titles, min_size=1, max_size=40), st.lists(titles, min_size=1, max_size=6), st.sampled_from([0.0, 60.0]))
+def test_a_large_block_is_searched_as_a_small_one(block, asked, floor):
+    """Bounds by letter counts and match words brought together, also for counts that few titles reach."""
+    many = [f"{t} {'ab' * (i % 3)}".strip() for i, t in enumerate((block * 2100)[:2100])] + ["aaaa" * 30, "é" * 40]
+    large = TitleBlock(many, np.arange(len(many)))
+    assert large.tables is not None and large.levels is not None
+    for q, (rows, scores) in zip(asked, large.best(asked, 5, floor)):
+        if not q.split():
+            assert len(rows) == 0
+            continue
+        found = token_set_scores([q] * len(many), many).tolist()
+        ranked = sorted((-s, i) for i, (s, t) in enumerate(zip(found, many)) if t.split())[:5]
+        assert [(-s, i) for s, i in ranked if -s >= floor] == list(zip(scores.tolist(), rows.tolist()))
+
+
+def test_blocks_of_long_titles_keep_to_their_bounds():
+    block = TitleBlock(["a" * 700 + "b", *map(chr, range(0x4E00, 0x4E00 + 900))], np.arange(901))
+    assert block.tables is None
+    assert [r.tolist() for r, _ in block.best(["a" * 700, chr(0x4E07)], 2, 60.0)] == [[0], [8]]
