@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from brute import token_set
 from fixtures import frames, make, unit_rows
@@ -176,3 +177,27 @@ def test_percentiles_by_rank(spark):
     got = percentiles(rows, "ms", (0.0, 0.5, 0.95, 0.99, 1.0)).first()
     assert np.allclose(list(got), np.percentile(values, [0, 50, 95, 99, 100]))
     assert list(percentiles(rows.limit(0), "ms", (0.5,)).first()) == [None]
+
+
+def test_restarts_share_their_passes_and_end_as_each_would_alone(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    gen = np.random.default_rng(3)
+    at = gen.normal(size=(6, 5))[gen.integers(0, 6, 400)] + gen.normal(scale=0.4, size=(400, 5))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(at)], "id long, embedding array<double>")
+    cfg, asked, plain = ScreeningConfig(kmeans_restarts=3, kmeans_iterations=40), [], clusters.KMeans
+    points = rows.select("id", array_to_vector("embedding").alias("features"))
+    alone = [plain(k=6, seed=cfg.kmeans_seed + r, maxIter=40, tol=1e-4).fit(points) for r in range(3)]
+    best = min(alone, key=lambda m: m.summary.trainingCost)
+
+    def starting(**options):
+        asked.append(options["maxIter"])
+        return plain(**options)
+
+    monkeypatch.setattr(clusters, "KMeans", starting)
+    assigned, centroids = clusters.fit_clusters(rows, cfg, k=6)
+    assert asked == [0, 0, 0]  # Spark's fit only draws the starts
+    got = np.array([r["centroid"] for r in centroids.orderBy("cluster_id").collect()])
+    assert np.allclose(got, np.array(best.clusterCenters()), atol=1e-6)
+    want = {r["id"]: r["prediction"] for r in best.transform(points).collect()}
+    assert {r["id"]: r["cluster_id"] for r in assigned.collect()} == want
