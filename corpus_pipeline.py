@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlesieve.llm import bpe, langid, mixing, neardup, pii
+from titlesieve.llm import bpe, common, langid, mixing, neardup, pii
 from titlesieve.session import ship_package
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -58,7 +58,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern)
     told = encoded.select("doc_id", "lang", "source", "ids", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("was"))
-    decoded = bpe.decode(told, path, pattern)
+    # encoding ends before decoding begins: a task then has one Python worker and its batches, not two
+    decoded = bpe.decode(common.cut(told), path, pattern)
     return decoded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                           (F.md5("decoded") == F.col("was")).alias("decodes"))
 
